@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, shared, token_count, token_store
+from . import byte_bpe, shared, simhash, substring_dedup, token_count, token_store
 
 
 def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.over_limit(counts).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(shared.table(spark, sf_dir, "documents"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents")
     with shared.Scratch(spark) as scratch:
@@ -26,6 +30,12 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         return scratch.keep(token_store.starts(token_store.checksums(stored)).select("doc_id", "start", "n_tokens", "ids_crc32"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = substring_dedup.substring_dedup(docs)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents")
     coded = byte_bpe.byte_bpe(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -40,7 +50,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_token_count": op4_token_count,
+        "op5_simhash": op5_simhash,
         "op8_token_store": op8_token_store,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
