@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, shared, simhash, substring_dedup, token_count, token_store
+from . import byte_bpe, decontamination, shared, simhash, substring_dedup, token_count, token_store, url_filter
+
+
+#: Rules of the url filter: verdict, host, path.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(shared.table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained_items(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark"))
 
 
 def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +61,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_url_filter": op2_url_filter,
+        "op3_decontamination": op3_decontamination,
         "op4_token_count": op4_token_count,
         "op5_simhash": op5_simhash,
         "op8_token_store": op8_token_store,
@@ -57,5 +71,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+OP2_SQL = r"""
+WITH split AS (
+  SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM split
+), rules(verdict, rule_host, rule_path) AS (
+  VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+), fits AS (
+  SELECT page_id, host, path, rule_host || rule_path AS rule, verdict,
+         row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS rank
+  FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
+FROM parts p LEFT JOIN (SELECT * FROM fits WHERE rank = 1) f USING (page_id, host, path)
+"""
+
+OP3_SQL = r"""
+WITH doc_words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents
+), item_words AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark
+), item_shingles AS (
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM item_words WHERE len(w) > 0
+), sizes AS (
+  SELECT item_id, count(*) AS n_shingles FROM item_shingles GROUP BY item_id
+), doc_shingles AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 4 + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM doc_words WHERE len(w) >= 5
+)
+SELECT doc_id, item_id, n_shingles, count(*) AS n_shared, count(*) / n_shingles AS containment
+FROM doc_shingles JOIN item_shingles USING (s) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= 0.8 * n_shingles
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": OP2_SQL, "op3_decontamination": OP3_SQL}
