@@ -8,7 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, shared, simhash, substring_dedup, token_count, token_store, url_filter
+from . import byte_bpe, decontamination, html_extract, quality_classifier, quality_rules, shared, simhash, substring_dedup, token_count, token_store, url_filter
+
+
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(shared.table(spark, sf_dir, "pages"))
 
 
 #: Rules of the url filter: verdict, host, path.
@@ -33,6 +37,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(shared.table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(shared.table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.table(spark, sf_dir, "documents")
+    weights = quality_classifier.train(docs, shared.table(spark, sf_dir, "labels"))
+    scored = quality_classifier.classify(docs, weights, ["doc_id"])
+    return scored.select("doc_id", quality_classifier.held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents")
     with shared.Scratch(spark) as scratch:
@@ -61,10 +77,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extract": op1_html_extract,
         "op2_url_filter": op2_url_filter,
         "op3_decontamination": op3_decontamination,
         "op4_token_count": op4_token_count,
         "op5_simhash": op5_simhash,
+        "op6_quality_rules": op6_quality_rules,
+        "op7_quality_classifier": op7_quality_classifier,
         "op8_token_store": op8_token_store,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_byte_bpe": op10_byte_bpe,
