@@ -16,8 +16,12 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0                
 RARE_ASCII = "\t\x0b\x0c\r"
 RARE_WIDE = WHITE[6:]
 
-#: Entries that a worker keeps in a memo; at the bound the older half goes. About 100 MB a memo at most.
-MEMO = 200_000
+#: Entries of a worker's memos, twice: at the bound the older half goes. About 220 bytes each, 120 MB in all.
+PARTS, PIECES = 30_000, 250_000
+
+#: Marks that end words; a run of them after letters is a pre-token of its own. The apostrophe isn't one: it may
+#: begin a contraction.
+MARKS = ".,;:!?%&*#$|)]}\"»…-"
 
 
 def explicit(pattern: str) -> str:
@@ -43,7 +47,7 @@ def explicit(pattern: str) -> str:
 class Memo(dict):
     """make(key), kept for two generations of `bound` keys each."""
 
-    def __init__(self, make: Callable, bound: int = MEMO):
+    def __init__(self, make: Callable, bound: int = PIECES):
         self.make, self.bound, self.old = make, bound, {}
 
     def __missing__(self, key):
@@ -73,7 +77,7 @@ class Encoder:
     def __init__(self, pattern: str, encode: Callable[[str], bytes]):
         self.find = regex.compile(explicit(pattern)).findall
         self.piece = Memo(encode)
-        self.part = Memo(self._part)
+        self.part = Memo(self._part, PARTS)
 
     def _pieces(self, text: str) -> bytes:
         return b"".join(map(self.piece.__getitem__, self.find(text)))
@@ -81,8 +85,9 @@ class Encoder:
     def _part(self, part: str) -> bytes:
         if part[:1] == "\n":
             return self.piece["\n"] + self._pieces(part[1:])
-        if part.isalpha():
-            return self.piece[" " + part]
+        word = part.rstrip(MARKS)
+        if word.isalpha():
+            return self.piece[" " + word] + (self.piece[part[len(word) :]] if len(word) < len(part) else b"")
         return self._pieces(" " + part)
 
     def __call__(self, text: str) -> bytes:
@@ -105,4 +110,6 @@ _TABLE = dict(enumerate(BYTE_CHARS))
 
 
 def byte_mapped(piece: str) -> str:
+    if piece.isascii() and piece[1:].isalnum():
+        return "Ġ" + piece[1:] if piece[0] == " " else piece.translate(_TABLE)
     return piece.encode().decode("latin-1").translate(_TABLE)

@@ -55,7 +55,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{scratch.root}/store"
         token_store.write_store(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
         stored = spark.read.parquet(path)
-        return scratch.keep(token_store.starts(token_store.checksums(stored)).select("doc_id", "start", "n_tokens", "ids_crc32"))
+        return scratch.keep(token_store.starts(token_store.checksums(stored), stored).select("doc_id", "start", "n_tokens", "ids_crc32"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,7 +51,7 @@ class LibraryEncoder:
         self.encoder = Encoder(BYTE_LEVEL_PATTERN, self._piece)
 
     def _piece(self, piece: str) -> bytes:
-        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(byte_mapped(piece)))
+        return array("I", [t.id for t in self.model.tokenize(byte_mapped(piece))]).tobytes()
 
     def __call__(self, text: str) -> bytes:
         if self.by_piece and not any(m in text for m in self.marks):
@@ -97,18 +98,20 @@ def write_store(df: DataFrame, path: str, vocab_path: str, end_id: int = 0, **co
         token_rows(df, vocab_path, end_id, **columns).write.options(**LAYOUT).parquet(path)
 
 
-def starts(store: DataFrame) -> DataFrame:
-    """The store with `start`: the number of ids of all documents before. Reads shard and n_tokens alone for it."""
+def starts(rows: DataFrame, store: DataFrame) -> DataFrame:
+    """rows, which have shard and first, with `start`: the number of ids of all documents before. Of the store it reads
+    shard and n_tokens alone."""
     # One row for each file of the store; the running sum over them is the only ordered step.
     totals = store.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    return store.join(shared.sized(base), "shard").withColumn("start", F.col("base") + F.col("first")).drop("base")
+    return rows.join(shared.sized(base), "shard").withColumn("start", F.col("base") + F.col("first")).drop("base")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, tokens) of every document. Columns and ranges of doc_id that aren't asked for aren't read."""
-    return starts(spark.read.parquet(path)).select("doc_id", "start", "n_tokens", "tokens")
+    store = spark.read.parquet(path)
+    return starts(store, store).select("doc_id", "start", "n_tokens", "tokens")
 
 
 def checksums(store: DataFrame) -> DataFrame:
