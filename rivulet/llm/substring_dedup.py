@@ -196,10 +196,11 @@ def repeated_spans(df: DataFrame, scratch: shared.Scratch, window: int = WINDOW,
     document of smaller id, has too. df: doc_id (long) and text (string, not null). Spans may overlap."""
     found = scratch.table(paths(df, window, inner))
     joint = found.groupBy("minimizer").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("digest").alias("d0"), F.max("digest").alias("d1"))
-    joint = joint.where("lo < hi").select("minimizer", (F.col("d0") < F.col("d1")).alias("branches"))
+    # Aggregates are written before rows join them: Spark splits a hot key of a join of two plain shuffles only.
+    joint = scratch.table(joint.where("lo < hi").select("minimizer", (F.col("d0") < F.col("d1")).alias("branches")))
     met = scratch.table(found.join(joint, "minimizer"))
     sources = met.groupBy("minimizer", "digest").agg(F.min("doc_id").alias("source"), F.min("check").alias("c0"), F.max("check").alias("c1"))
-    sources = sources.select("minimizer", "digest", "source", (F.col("c0") == F.col("c1")).alias("same"))
+    sources = scratch.table(sources.select("minimizer", "digest", "source", (F.col("c0") == F.col("c1")).alias("same")))
     judged = scratch.table(met.join(sources, ["minimizer", "digest"]))
     whole = judged.where("doc_id > source and same").select("doc_id", "row", "start", (F.col("start") + F.col("n") + F.lit(window - 1)).alias("end"), "source")
     split = judged.where("not same or (branches and doc_id = source)")
@@ -208,6 +209,7 @@ def repeated_spans(df: DataFrame, scratch: shared.Scratch, window: int = WINDOW,
     beside = texts.join(shared.sized(listed, 2_000), ["doc_id", "row"]).select("doc_id", "row", "text", "paths")
     edges = scratch.table(_edges(beside, window))
     heads = edges.groupBy("edge", "check").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
+    heads = scratch.table(heads)
     single = edges.join(heads, ["edge", "check"]).where("doc_id > source").select("doc_id", "row", "start", (F.col("start") + F.lit(window)).alias("end"), "source")
     return scratch.table(whole).union(scratch.table(single))
 
