@@ -1,0 +1,197 @@
+"""Operators on the fixtures of FIXTURES.md."""
+
+from datetime import datetime, timedelta
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from rivulet.functions.time import at_precision, timestamp_text
+from rivulet.operators import changelog, joins, relational, windows
+from rivulet.streaming import bundler, watermarks
+
+T0 = datetime(2019, 12, 12)
+
+
+def at(s):
+    return T0 + timedelta(seconds=s)
+
+
+def tuples(df, *columns):
+    return sorted(tuple(r) for r in (df.select(*columns) if columns else df).collect())
+
+
+@pytest.fixture(scope="module")
+def orders(spark):
+    data = [(1, "beer", 3, at(1)), (1, "diaper", 4, at(2)), (2, "pen", 3, at(4)), (2, "rubber", 3, at(6)), (3, "rubber", 2, at(5)), (4, "beer", 1, at(8))]
+    return spark.createDataFrame(data, "user_id int, product string, amount int, ts timestamp_ntz")
+
+
+def test_tumbling_window_golden(orders):
+    found = windows.aggregate(orders, windows.tumble("ts", "5 seconds"), [], F.count("*").alias("n"), F.sum("amount").alias("total"), F.count_distinct("product").alias("u"))
+    assert tuples(found, timestamp_text(F.col("window_start")), "n", "total", "u") == [("2019-12-12 00:00:00.000", 3, 10, 3), ("2019-12-12 00:00:05.000", 3, 6, 2)]
+    two = windows.count_distinct(orders, windows.tumble("ts", "5 seconds"), "product", "u")
+    assert tuples(two, "u") == [(2,), (3,)]
+
+
+def test_rowtime_is_last_millisecond(orders):
+    found = windows.aggregate(orders, windows.tumble("ts", "5 seconds"), [], F.count("*").alias("n"))
+    assert tuples(found, "window_time")[0][0] == at(4.999)
+
+
+def test_rows_one_gap_apart_are_one_session(spark):
+    df = spark.createDataFrame([(at(0),), (at(30),), (at(60.001),)], "ts timestamp_ntz")
+    found = windows.aggregate(df, windows.session("ts", "30 seconds"), [], F.count("*").alias("n"))
+    assert tuples(found, "window_start", "window_end", "n") == [(at(0), at(60), 2), (at(60.001), at(90.001), 1)]
+
+
+def test_cumulating_windows_grow(spark):
+    df = spark.createDataFrame([(at(1),), (at(11),)], "ts timestamp_ntz")
+    found = windows.cumulate(df, "ts", "10 seconds", "30 seconds").groupBy("window_end").agg(F.count("*").alias("n"))
+    assert tuples(found) == [(at(10), 1), (at(20), 2), (at(30), 2)]
+
+
+CITIES = {
+    ("Los Angeles", "CA"): (13106100, 72600, 72300),
+    ("San Francisco", "CA"): (4152540, 300000, 197000),
+    ("San Jose", "CA"): (1000000, 1, 1),
+}
+
+
+def test_updating_aggregate_golden(spark):
+    data = [(c, s, 2013 + i, d) for (c, s), ds in CITIES.items() for i, d in enumerate(ds)]
+    df = spark.createDataFrame(data, "city string, state string, update_year int, population_diff int")
+    log = changelog.updating(df, ["city", "state"], ["update_year"], {"latest_year": F.max("update_year"), "population": F.sum("population_diff")})
+    mine = log.where("city = 'Los Angeles'").orderBy("__update_year", "__step").select("_op", "latest_year", "population")
+    assert [tuple(r) for r in mine.collect()] == [("+I", 2013, 13106100), ("-D", 2013, 13106100), ("+I", 2014, 13178700), ("-D", 2014, 13178700), ("+I", 2015, 13251000)]
+    table = changelog.materialize(log, ["__update_year", "__step"])
+    top = relational.top_n(table, ["state"], [F.col("population").desc(), F.col("latest_year").desc()], 2)
+    assert tuples(top, "city", "population") == [("Los Angeles", 13251000), ("San Francisco", 4649540)]
+
+
+RATES = [("+I", 1000, "USD", 0.8), ("+U", 4000, "USD", 0.9), ("+U", 3000, "USD", 1.0), ("+U", 6000, "USD", 1.1)]
+
+
+def rates(spark, extra=()):
+    return spark.createDataFrame([*RATES, *extra], "_op string, rate_time long, code string, rate double")
+
+
+def payments(spark, extra=()):
+    data = [("trx1", 1000, "USD", 1.0), ("trx2", 2000, "USD", 1.0), ("trx3", 3000, "USD", 1.0), ("trx4", 4000, "USD", 1.0), *extra]
+    return spark.createDataFrame(data, "id string, trx_time long, code string, amount double")
+
+
+def test_temporal_join(spark):
+    found = joins.temporal_join(payments(spark), rates(spark), {"code": "code"}, "trx_time", "rate_time")
+    assert tuples(found, "id", F.col("amount") * F.col("rate")) == [("trx1", 0.8), ("trx2", 0.8), ("trx3", 1.0), ("trx4", 0.9)]
+
+
+def test_temporal_join_by_key_deletes_nulls_and_early_rows(spark):
+    more = [("+I", 1500, "GBP", 2.0), ("-D", 5000, "USD", 0.9), ("+U", 2500, "GBP", None)]
+    rows = [("early", 500, "USD", 1.0), ("gone", 5500, "USD", 1.0), ("null", 3000, "GBP", 1.0), ("back", 6500, "USD", 1.0), ("nokey", 3000, None, 1.0)]
+    left = joins.temporal_join(payments(spark, rows), rates(spark, more), {"code": "code"}, "trx_time", "rate_time", how="left")
+    got = {r["id"]: (r["rate"], r["rate_time"]) for r in left.collect()}
+    assert got == {"trx1": (0.8, 1000), "trx2": (0.8, 1000), "trx3": (1.0, 3000), "trx4": (0.9, 4000), "early": (None, None), "gone": (None, None), "null": (None, 2500), "back": (1.1, 6000), "nokey": (None, None)}
+    inner = joins.temporal_join(payments(spark, rows), rates(spark, more), {"code": "code"}, "trx_time", "rate_time")
+    assert {r["id"] for r in inner.collect()} == {"trx1", "trx2", "trx3", "trx4", "null", "back"}
+
+
+def test_as_of_ties_and_condition(spark):
+    right = spark.createDataFrame([("k", 1, 1, 10), ("k", 1, 2, 20), ("k", 5, 3, 30)], "k string, t long, seq long, v long")
+    left = spark.createDataFrame([("k", 1), ("k", 5)], "k string, t long")
+    found = joins.as_of_join(left, right, {"k": "k"}, "t", "t", "left", order=["seq"])
+    assert tuples(found, "t", "v", "right_t") == [(1, 20, 1), (5, 30, 5)]
+    checked = joins.as_of_join(left, right, {"k": "k"}, "t", "t", "left", order=["seq"], condition=F.col("v") < 25)
+    assert sorted(((r["t"], r["v"]) for r in checked.collect()), key=repr) == [(1, 20), (5, None)]
+    assert tuples(joins.as_of_join(left, right, {"k": "k"}, "t", "t", "inner", order=["seq"], condition=F.col("v") < 25), "t", "v") == [(1, 20)]
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.lists(st.tuples(st.sampled_from("abc"), st.integers(0, 9)), min_size=1, max_size=8),
+    st.lists(st.tuples(st.sampled_from("abc"), st.integers(0, 9), st.sampled_from(["+I", "-D"])), min_size=1, max_size=8),
+)
+def test_as_of_is_brute_force(spark, left, right):
+    versions = [(k, t, op, i) for i, (k, t, op) in enumerate(right)]
+    a = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(left)], "i long, k string, t long")
+    b = spark.createDataFrame(versions, "k string, t long, _op string, seq long")
+    found = {r["i"]: r["seq"] for r in joins.as_of_join(a, b, {"k": "k"}, "t", "t", "left", op="_op", order=["seq"]).collect()}
+    for i, (k, t) in enumerate(left):
+        best = max(((v[1], v[3], v[2]) for v in versions if v[0] == k and v[1] <= t), default=None)
+        assert found[i] == (None if best is None or best[2] == "-D" else best[1])
+
+
+def test_retried_lookup(spark):
+    left = spark.createDataFrame([("a-a", "a", at(0)), ("b-b", "b", at(0)), ("c-c", "c", at(0)), ("d-d", "d", at(0))], "id1 string, id2 string, t timestamp_ntz")
+    dimension = spark.createDataFrame([("a", at(-1)), ("a", at(-2)), ("b", at(7)), ("d", at(16))], "city string, since timestamp_ntz")
+    found = joins.retried_lookup(left, dimension, {"id2": "city"}, "t", "since", joins.RetryPolicy(3, 5), "left")
+    assert sorted(((r["id2"], r["city"], r["attempt"]) for r in found.collect()), key=repr) == [("a", "a", 0), ("a", "a", 0), ("b", "b", 2), ("c", None, None), ("d", None, None)]
+    assert joins.retried_lookup(left, dimension, {"id2": "city"}, "t", "since", joins.RetryPolicy(3, 5), "inner").count() == 3
+
+
+def test_lookup_strategies(spark):
+    left = spark.createDataFrame([(1,), (2,), (None,)], "x int")
+    right = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
+    for strategy in ("auto", "broadcast", "keyby"):
+        assert joins.lookup_join(left, right, {"x": "k"}, "left", strategy).count() == 4
+    plan = joins.lookup_join(left, right, {"x": "k"}, "left", "broadcast")._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan
+    with pytest.raises(ValueError):
+        joins.lookup_join(left, right, {"x": "k"}, "full")
+
+
+def test_cdc(spark):
+    log = [("+I", "o1", "u1"), ("+I", "o2", "u1"), ("+I", "o3", "u2"), ("-U", "o2", "u1"), ("+U", "o2", "u2"), ("-D", "o1", "u1")]
+    df = spark.createDataFrame(log, "_op string, order_id string, user_id string")
+    assert tuples(changelog.count(df, ["user_id"])) == [("u2", 2)]
+    values = spark.createDataFrame([("+I", "a", 5), ("+I", "a", 9), ("-D", "a", 9), ("+I", "b", 1), ("-D", "b", 1)], "_op string, k string, v int")
+    assert tuples(changelog.maximum(values, ["k"], "v", "top")) == [("a", 5)]
+    assert tuples(changelog.total(values, ["k"], "v", "s")) == [("a", 5)]
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.dictionaries(st.sampled_from("abcd"), st.integers(0, 3), max_size=4), st.dictionaries(st.sampled_from("abcd"), st.integers(0, 3), max_size=4))
+def test_diff_leads_from_one_table_to_the_other(spark, before, after):
+    a = spark.createDataFrame(list(before.items()), "k string, v int")
+    b = spark.createDataFrame(list(after.items()), "k string, v int")
+    log = a.select(F.lit("+I").alias("_op"), "k", "v").unionByName(changelog.diff(a, b, ["k"]))
+    assert tuples(changelog.materialize(log, [])) == sorted(after.items())
+
+
+def test_sink_modes(spark):
+    log = spark.createDataFrame([("+I", 1), ("-U", 1), ("+U", 2)], "_op string, v int")
+    assert changelog.for_sink(log, "retract").count() == 3
+    assert tuples(changelog.for_sink(log, "upsert")) == [("+I", 1), ("+U", 2)]
+    assert changelog.for_sink(log.where("_op = '+I'"), "append").columns == ["v"]
+    with pytest.raises(Exception, match="append sink"):
+        changelog.for_sink(log, "append").collect()
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(0, 40), max_size=25), st.integers(1, 6))
+def test_bundles_keep_every_row(spark, seconds, most):
+    df = spark.createDataFrame([(i, at(s)) for i, s in enumerate(seconds)], "i int, ts timestamp_ntz")
+    found = bundler.bundles(df, most, ["i"], "ts", 10_000).collect()
+    assert sorted(r["i"] for b in found for r in b["rows"]) == list(range(len(seconds)))
+    assert all(0 < b["size"] <= most and len({r["ts"].second // 10 + 6 * r["ts"].minute for r in b["rows"]}) == 1 for b in found)
+
+
+def test_watermark_values(spark):
+    df = spark.createDataFrame([(1, 10_000), (2, 8_000), (3, 20_000)], "i int, t long")
+    assert tuples(df.select("i", watermarks.bounded_value(F.col("t"), ["i"]))) == [(1, 6499), (2, 6499), (3, 16499)]
+
+
+def test_precision_and_align(spark):
+    df = spark.sql("SELECT TIMESTAMP_NTZ '2020-01-01 00:00:00.123456' AS t, '7' AS n")
+    assert df.select(at_precision(F.col("t"), 0).alias("a"), at_precision(F.col("t"), 3).alias("b")).first()["a"] == datetime(2020, 1, 1)
+    target = spark.createDataFrame([], "x timestamp_ntz, y int").schema
+    assert relational.align(df, target).first()["y"] == 7
+    with pytest.raises(ValueError):
+        relational.align(df.select("t"), target)
+
+
+def test_key_by_repartitions_and_top_n_is_limited_early(spark):
+    df = spark.createDataFrame([(i % 3, i) for i in range(30)], "k int, v int")
+    plan = relational.top_n(df, ["k"], [F.col("v").desc()], 2)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan
