@@ -3,7 +3,6 @@
 import time
 from datetime import datetime, timedelta
 
-import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,14 +31,12 @@ class Feed:
         return self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 50).parquet(self.path)
 
 
-def collect(df, name, steps, mode="append", tail=None):
+def collect(df, name, steps, mode="append"):
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
     try:
         for step in steps:
             step()
             query.processAllAvailable()
-        if tail:
-            tail(query)
         return [tuple(r) for r in df.sparkSession.table(name).collect()]
     finally:
         query.stop()
@@ -69,15 +66,24 @@ def test_retry_lookup(spark, tmp_path):
     spark.createDataFrame([("a", "A")], city).write.parquet(dimension)
     look = retry_lookup.parquet_lookup(dimension, ["cityId"])
     schema = T.StructType([T.StructField("cityId", T.StringType()), T.StructField("cityName", T.StringType())])
-    found = retry_lookup.retry_lookup_join(feed.stream(), look, ["id1"], schema, RetryPolicy(4, 1.0), "left")
+    found = retry_lookup.retry_lookup_join(feed.stream(), look, ["id1"], schema, RetryPolicy(4, 6.0), "left")
 
-    def later(query):
-        spark.createDataFrame([("b", "B")], city).write.mode("append").parquet(dimension)
-        deadline = time.time() + 60
-        while time.time() < deadline and spark.table("retried").count() < 3:
-            time.sleep(0.5)
+    # Timers make a batch every time, so the stream never counts as having processed all.
+    query = found.writeStream.format("memory").queryName("retried").outputMode("append").start()
+
+    def wait(n):
+        deadline = time.time() + 90
+        while time.time() < deadline and spark.table("retried").count() < n:
+            time.sleep(0.3)
 
-    got = collect(found, "retried", [lambda: feed.add([("a", "1"), ("b", "2"), ("c", "3")])], tail=later)
+    try:
+        feed.add([("a", "1"), ("b", "2"), ("c", "3")])
+        wait(1)
+        spark.createDataFrame([("b", "B")], city).write.mode("append").parquet(dimension)
+        wait(3)
+        got = [tuple(r) for r in spark.table("retried").collect()]
+    finally:
+        query.stop()
     assert sorted(got, key=repr) == [("a", "1", "a", "A"), ("b", "2", "b", "B"), ("c", "3", None, None)]
 
 
