@@ -22,8 +22,8 @@ class AsOf(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", T.StructType([T.StructField("t", T.LongType()), T.StructField("n", T.LongType()), *self.left.fields]))
-        self.versions = handle.getListState("versions", T.StructType([T.StructField("t", T.LongType()), T.StructField("n", T.LongType()), T.StructField("gone", T.BooleanType()), *self.right.fields]))
+        self.waiting = handle.getListState("waiting", T.StructType([T.StructField("__t", T.LongType()), T.StructField("__n", T.LongType()), *self.left.fields]))
+        self.versions = handle.getListState("versions", T.StructType([T.StructField("__t", T.LongType()), T.StructField("__n", T.LongType()), T.StructField("__gone", T.BooleanType()), *self.right.fields]))
         self.count = handle.getValueState("count", "n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
