@@ -33,9 +33,9 @@ class AsOf(StatefulProcessor):
             n += 1
             t = r["__t"]
             if r["__side"] == 0:
-                self.versions.appendValue((t, n, r["__gone"], *r["__right"]))
+                self.versions.appendValue((t, n, r["__gone"], *[r["__right"][c] for c in self.right.names]))
             else:
-                self.waiting.appendValue((t, n, *r["__left"]))
+                self.waiting.appendValue((t, n, *[r["__left"][c] for c in self.left.names]))
             times.add(t)
         self.count.update((n,))
         for t in times:
