@@ -67,12 +67,10 @@ def parsed(df: DataFrame, spec) -> DataFrame:
 
 def rate(spark: SparkSession, spec, streaming: bool) -> DataFrame:
     """Generated rows: timestamp and value, cast to the declared columns by position."""
-    rows = (spark.readStream if streaming else spark.read).format("rate")
-    if not streaming:
-        rows = None
-        df = spark.range(int(spec.options.get("number-of-rows", "10"))).select(F.current_timestamp().alias("timestamp"), F.col("id").alias("value"))
+    if streaming:
+        df = spark.readStream.format("rate").option("rowsPerSecond", spec.options.get("rows-per-second", "1")).load()
     else:
-        df = rows.option("rowsPerSecond", spec.options.get("rows-per-second", "1")).load()
+        df = spark.range(int(spec.options.get("number-of-rows", "10"))).select(F.current_timestamp().alias("timestamp"), F.col("id").alias("value"))
     return df.select(*[F.col(a).cast(f.dataType).alias(f.name) for a, f in zip(df.columns, spec.schema.fields)])
 
 
@@ -81,7 +79,7 @@ STORES: dict[str, DataFrame] = {}
 
 
 def key_value(spark: SparkSession, spec, streaming: bool) -> DataFrame:
-    """A key-value dimension: a DataFrame registered in STORES, or rows of (key, field, value) that additional-key selects."""
+    """A key-value dimension: a DataFrame registered in STORES, or its rows (key, field, value) of the key additional-key."""
     df = STORES[spec.options.get("store", spec.name)]
     if "additional-key" in spec.options:
         df = df.where(F.col("key") == spec.options["additional-key"]).select("field", "value")
