@@ -132,10 +132,8 @@ def test_substring_query(spark, sf):
     assert got == removed_brute(docs)
 
 
-@pytest.mark.parametrize("block", [1 << 19, 64])
-def test_substrings_of_overlapping_passages(spark, monkeypatch, block):
-    """Passages that overlap, repeat within a document, touch the window's length and are periodic; and cut long texts."""
-    monkeypatch.setattr(substring_dedup, "_BLOCK", block)
+def test_substrings_of_overlapping_passages(spark):
+    """Passages that overlap, repeat within a document, touch the window's length and are periodic."""
     random.seed(9)
     passages = [prose(n) for n in (49, 50, 51, 80, 200)] + ["la " * 120, "a b c " * 40]
     docs = []
@@ -145,11 +143,6 @@ def test_substrings_of_overlapping_passages(spark, monkeypatch, block):
         cut = " ".join(parts).split()
         docs.append((i, " ".join(cut[random.randint(0, 20) :])))
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    if block == 64:  # the block's size must reach the workers
-        import functools
-
-        real = substring_dedup._blocks
-        monkeypatch.setattr(substring_dedup, "_blocks", functools.partial(real))
     assert digests(substring_dedup.substring_dedup(df)) == removed_brute(docs)
 
 
