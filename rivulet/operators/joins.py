@@ -6,11 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A dimension is broadcast on request only if it has at most so many rows; larger ones shuffle.
 BROADCAST_ROWS = 1_000_000
 
-#: The Row kind of a deleted version.
+#: The row kind of a deleted version.
 DELETE = "-D"
 
 
@@ -87,6 +88,7 @@ def as_of_join(
     op: str | None = None,
     order: list[str] | None = None,
     condition: Column | None = None,
+    bucket: float | None = None,
 ) -> DataFrame:
     """Joins each row of left with the latest version of its key: the right row of largest time <= left's.
 
@@ -95,7 +97,8 @@ def as_of_join(
     condition: tested on the chosen pair, after the choice; a pair that fails is no match. how: inner, or left (nulls).
     Columns of right are taken as they are, nulls included; those that left has too are renamed right_<name>.
     One shuffle by key and one sort, linear in both sides: versions and rows are merged, and the last version seen is
-    carried along.
+    carried along. bucket: for keys that hold much of the rows, the length (seconds, or units of a number) of the slices
+    of time that a key is split into; each slice starts with the version that the ones before it end with.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"an as-of join is inner or left, not {how}")
@@ -121,10 +124,15 @@ def as_of_join(
         F.lit(None).cast("string").alias("__op"),
     )
     keys = [f"__k{i}" for i in range(len(on))]
+    parts, merged = keys, versions.unionByName(rows)
+    if bucket is not None:
+        slot = _slot(F.col("__t"), left.schema[left_time].dataType, bucket)
+        versions, rows = versions.withColumn("__b", slot), rows.withColumn("__b", slot)
+        parts, merged = [*keys, "__b"], versions.unionByName(rows).unionByName(_carried(versions, rows, keys, len(order)))
     # Right before left at equal times, because the match is <=. The version is one struct, so that its nulls stay.
-    seen = Window.partitionBy(*keys).orderBy("__t", "__side", *[f"__o{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, 0)
+    seen = Window.partitionBy(*parts).orderBy("__t", "__side", *[f"__o{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, 0)
     version = F.when(F.col("__side") == 0, F.struct("__right", "__op", F.col("__t").alias("__since")))
-    merged = versions.unionByName(rows).withColumn("__version", F.last(version, ignorenulls=True).over(seen)).where("__side = 1")
+    merged = merged.withColumn("__version", F.last(version, ignorenulls=True).over(seen)).where("__side = 1")
     comparable = F.lit(True)
     for k in keys:
         comparable = comparable & F.col(k).isNotNull()
@@ -140,6 +148,25 @@ def as_of_join(
     return (out.where("__met") if how == "inner" else out).drop("__met")
 
 
+def _slot(t: Column, kind: T.DataType, bucket: float) -> Column:
+    if isinstance(kind, T.NumericType):
+        return F.floor(t / F.lit(bucket))
+    return F.floor(F.unix_micros(t.cast("timestamp")) / F.lit(bucket * 1_000_000))
+
+
+def _carried(versions: DataFrame, rows: DataFrame, keys: list[str], orders: int) -> DataFrame:
+    """For each slice of time of a key that has rows, the last version of the slices before it, as a version."""
+    order = ["__t", *[f"__o{i}" for i in range(orders)]]
+    held = [c for c in versions.columns if c not in (*keys, "__b")]
+    lasts = versions.where("__t IS NOT NULL").groupBy(*keys, "__b").agg(F.max_by(F.struct(*held), F.struct(*order)).alias("__last"))
+    asked = rows.select(*keys, "__b").distinct().withColumn("__last", F.lit(None).cast(lasts.schema["__last"].dataType)).withColumn("__asked", F.lit(True))
+    # A row for each slice of a key, however many rows the slice has.
+    before = Window.partitionBy(*keys).orderBy("__b").rangeBetween(Window.unboundedPreceding, -1)
+    line = asked.unionByName(lasts.withColumn("__asked", F.lit(False))).withColumn("__carry", F.last("__last", ignorenulls=True).over(before))
+    found = line.where("__asked AND __carry IS NOT NULL")
+    return found.select(*[F.col(c) if c in (*keys, "__b") else F.col(f"__carry.{c}").alias(c) for c in versions.columns])
+
+
 def temporal_join(left: DataFrame, changelog: DataFrame, on: dict[str, str], left_time: str, right_time: str, op: str = "_op", **more) -> DataFrame:
     """FOR SYSTEM_TIME AS OF left.time over a versioned table given as an upsert changelog with row kinds."""
     return as_of_join(left, changelog.where(F.col(op) != "-U"), on, left_time, right_time, op=op, **more)

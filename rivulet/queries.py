@@ -264,11 +264,11 @@ FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF {} JOIN (SELECT
 """
 
 
-def _as_of(spark, d, how):
+def _as_of(spark, d, how, bucket=None):
     events = table(spark, d, "events")
     left = events.where("event_type = 'purchase'").select("event_id", "ts", "user_id")
     right = events.where("event_type = 'click'").select(F.col("user_id").alias("click_user"), F.col("ts").alias("click_ts"), F.col("event_id").alias("click_id"), F.col("value").alias("click_value"))
-    return joins.as_of_join(left, right, {"user_id": "click_user"}, "ts", "click_ts", how, order=["click_id"]).select("event_id", "ts", "click_id", "click_value")
+    return joins.as_of_join(left, right, {"user_id": "click_user"}, "ts", "click_ts", how, order=["click_id"], bucket=bucket).select("event_id", "ts", "click_id", "click_value")
 
 
 @query(AS_OF_SQL.format(""))
@@ -281,6 +281,12 @@ def asof_left(spark, d):
     return _as_of(spark, d, "left")
 
 
+@query(AS_OF_SQL.format("LEFT"))
+def asof_sliced(spark, d):
+    """As asof_left, a user's events split by day: for users with much of the rows."""
+    return _as_of(spark, d, "left", 86_400.0)
+
+
 @query("""
 SELECT p.event_id AS id, p.ts AS trx_time, round(p.value * c.value, 6) AS total
 FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF JOIN (SELECT * FROM events WHERE event_type <> 'purchase') c ON p.user_id = c.user_id AND p.ts >= c.ts
