@@ -15,11 +15,18 @@ from pyspark.sql import functions as F
 from rivulet.llm import byte_bpe, decontamination, quality_classifier, shared, simhash, substring_dedup
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns c0, c1 and so on, and what each was called: no column that an operator adds can clash."""
+    names = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labels, doesn't reject."""
     weights = quality_classifier.train(docs, shared.table(spark, sf_dir, "labels"))
-    scored = quality_classifier.classify(docs.withColumn("__text", F.col("text")), weights, docs.columns, text_col="__text")
-    return scored.where("predicted = 1").select(*docs.columns)
+    plain, names = _numbered(docs)
+    scored = quality_classifier.classify(plain, weights, plain.columns, text_col=names["text"])
+    return scored.where("predicted = 1").select(*plain.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +36,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words and more that a document of smaller id has. n_chars follows."""
-    found = substring_dedup.substring_dedup(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    length = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", length).withColumn("text", text).select(*docs.columns)
+    plain, names = _numbered(docs)
+    text, length = names["text"], names["n_chars"]
+    found = substring_dedup.substring_dedup(plain, names["doc_id"], text)
+    cut = F.col("n_removed") > 0
+    changed = {text: F.when(cut, F.col("kept_text")).otherwise(F.col(text)), length: F.when(cut, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(length))}
+    return found.withColumns(changed).select(*plain.columns).toDF(*docs.columns)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

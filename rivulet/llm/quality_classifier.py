@@ -119,8 +119,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     usable = labels.where(F.col(label_col).isin(0, 1)).where(_remainder(id_col) != 0)
     chosen = usable.groupBy(id_col).agg(F.min(label_col).cast("double").alias("__label"))
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(F.col(id_col).alias("__id"), "__label")
-    held = shared.small(chosen, shared.BROADCAST_ROWS)
-    texts = df.join(F.broadcast(chosen) if held else chosen, df[id_col] == F.col("__id")).select("__id", "__label", F.col(f"`{text_col}`").alias("__t"))
+    texts = df.select(F.col(f"`{id_col}`").alias("__doc"), F.col(f"`{text_col}`").alias("__t"))
+    texts = texts.join(shared.sized(chosen), F.col("__doc") == F.col("__id")).select("__id", "__label", "__t")
 
     def make(found: list[str | None]) -> list[pa.Array]:
         return [pa.array([features(t) for t in found], pa.list_(pa.int32()))]

@@ -251,3 +251,20 @@ def test_pipeline_against_brute_force(spark, sf):
         stage = f(spark, stage, sf)
         assert stage.columns == docs.columns and stage.schema.simpleString() == docs.schema.simpleString()
         stage = stage.select(*[F.col(c) for c in docs.columns])
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark, sf):
+    import corpus_pipeline
+
+    base = prose(80)
+    data = [(1, base, "en", "s", 5), (2, base, None, None, None), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (None, base, "en", "s", 1), (5, prose(2500), "en", "s", 1), (6, "x " + base, "en", "s", 1), (6, "x " + base, "en", "s", 1)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("score", "predicted", "n_words", "n_removed", "kept_text", "fp", "row", "item_id", "ids", "__text"):
+        docs = docs.withColumn(name, F.lit("own"))
+    for frame in (docs, docs.limit(0)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            frame = stage(spark, frame, sf)
+            got = frame.collect()
+            if k < 4:
+                assert frame.columns == docs.columns and all(r["predicted"] == r["kept_text"] == "own" for r in got)
+        assert all(r["n_tokens"] == len(r["ids"]) for r in got)
