@@ -16,8 +16,8 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0                
 RARE_ASCII = "\t\x0b\x0c\r"
 RARE_WIDE = WHITE[6:]
 
-#: Entries of a worker's memos, twice: at the bound the older half goes. About 220 bytes each, 120 MB in all.
-PARTS, PIECES = 30_000, 250_000
+#: Entries of a worker's memos, twice: at the bound the older half goes. About 220 bytes each, 260 MB in all.
+PARTS, PIECES = 100_000, 500_000
 
 #: Marks that end words; a run of them after letters is a pre-token of its own. The apostrophe isn't one: it may
 #: begin a contraction.
@@ -47,7 +47,7 @@ def explicit(pattern: str) -> str:
 class Memo(dict):
     """make(key), kept for two generations of `bound` keys each."""
 
-    def __init__(self, make: Callable, bound: int = PIECES):
+    def __init__(self, make: Callable, bound: int = 200_000):
         self.make, self.bound, self.old = make, bound, {}
 
     def __missing__(self, key):
@@ -76,7 +76,7 @@ class Encoder:
 
     def __init__(self, pattern: str, encode: Callable[[str], bytes]):
         self.find = regex.compile(explicit(pattern)).findall
-        self.piece = Memo(encode)
+        self.piece = Memo(encode, PIECES)
         self.part = Memo(self._part, PARTS)
 
     def _pieces(self, text: str) -> bytes:
