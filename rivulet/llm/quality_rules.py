@@ -15,9 +15,11 @@ from . import shared
 
 SYMBOLS = b"#*$%&|<>"
 
-#: Transformed statistics and the least standard deviation that each counts with. Most documents have no symbol,
-#: no repeated line and no repeated words: their spread may be zero, and what is rare isn't yet an outlier.
-FLOORS = {"length": 0.10, "symbols": 0.12, "lines": 0.18, "repeats": 0.18}
+#: Words that the least repetition repeats: a 3-word window, twice.
+REPEAT = 6
+
+#: What is added to variances, so that a group without any spread has an inverse.
+TINY = 1e-9
 
 #: Share of a group that the determinant is minimal over, and the least rows of a group with its own estimate.
 SUPPORT = 0.75
@@ -94,6 +96,16 @@ def _vector() -> dict[str, Column]:
     }
 
 
+def _noise() -> dict[str, Column]:
+    """Variance of each statistic of _vector by counting alone: that of a Poisson count's square root is 1/4, a repetition
+    counts REPEAT words, and word lengths vary by their mean. Most documents have no symbol, no repeated line and no
+    repeated words; where a whole group has none, this is all the spread that a document is judged with."""
+    words, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
+    mean = F.col("word_chars") / words
+    found = {"length": mean / (words * (mean + 1) ** 2), "symbols": 1 / (4 * words), "lines": 1 / (4 * lines), "repeats": REPEAT / (4 * words)}
+    return {f"v_{n}": c for n, c in found.items()}
+
+
 def _chi2(x: float, df: int) -> float:
     """Distribution function of chi-square with an even number of degrees of freedom."""
     return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(df // 2))
@@ -109,18 +121,17 @@ def _quantile(p: float, df: int) -> float:
 
 def _consistency(share: float) -> float:
     """Factor for the covariance of the `share` nearest rows of a normal population."""
-    return share / _chi2(_quantile(share, len(FLOORS)), len(FLOORS) + 2)
+    return share / _chi2(_quantile(share, len(_NAMES)), len(_NAMES) + 2)
 
 
 _KEY = ["g_lang", "g_source"]
-_NAMES = list(FLOORS)
+_NAMES = ["length", "symbols", "lines", "repeats"]
 _PAIRS = [(a, b) for i, a in enumerate(_NAMES) for b in _NAMES[i:]]
 
 
 def _estimate(moments: DataFrame, factor: float) -> DataFrame:
-    """(key, mean, inverse, logdet) of each group, from its sums. Groups are independent rows."""
-    schema = ", ".join([f"{k} string" for k in _KEY] + ["center array<double>", "inverse array<double>", "logdet double"])
-    floors = [FLOORS[n] for n in _NAMES]
+    """(key, center, cov, inverse, logdet) of each group, from its sums. Groups are independent rows."""
+    schema = ", ".join([f"{k} string" for k in _KEY] + ["center array<double>", "cov array<double>", "inverse array<double>", "logdet double"])
 
     def solve(batches):
         import numpy as np
@@ -135,19 +146,32 @@ def _estimate(moments: DataFrame, factor: float) -> DataFrame:
                     i, j = _NAMES.index(a), _NAMES.index(b)
                     cov[i, j] = cov[j, i] = r[f"q_{a}_{b}"] / n - mean[i] * mean[j]
                 cov *= factor
-                # At least the floors on the diagonal; what is added keeps the matrix positive definite.
-                cov += np.diag([max(0.0, f * f - cov[i, i]) + 1e-9 for i, f in enumerate(floors)])
+                cov += np.eye(len(_NAMES)) * TINY
                 inverse = np.linalg.inv(cov)
-                out.append([r[k] for k in _KEY] + [mean.tolist(), inverse.ravel().tolist(), float(np.linalg.slogdet(cov)[1])])
-            yield pd.DataFrame(out, columns=[*_KEY, "center", "inverse", "logdet"])
+                out.append([r[k] for k in _KEY] + [mean.tolist(), cov.ravel().tolist(), inverse.ravel().tolist(), float(np.linalg.slogdet(cov)[1])])
+            yield pd.DataFrame(out, columns=[*_KEY, "center", "cov", "inverse", "logdet"])
 
     return moments.mapInPandas(solve, schema)
 
 
-def _distance(center: str = "center", inverse: str = "inverse") -> Column:
-    off = [F.col(n) - F.get(F.col(center), F.lit(i)) for i, n in enumerate(_NAMES)]
-    terms = [off[i] * off[j] * F.get(F.col(inverse), F.lit(i * len(_NAMES) + j)) for i in range(len(_NAMES)) for j in range(len(_NAMES))]
-    return reduce(lambda a, b: a + b, terms)
+def _noise_of(rows: DataFrame) -> dict[str, Column]:
+    return {n: F.col(f"v_{n}") if f"v_{n}" in rows.columns else F.lit(0.0) for n in _NAMES}
+
+
+def _with_distance(rows: DataFrame, name: str = "d") -> DataFrame:
+    """rows with the squared Mahalanobis distance to center by cov, and by the row's own counting noise on its diagonal."""
+
+    def solve(x: pa.Array, noise: pa.Array, center: pa.Array, cov: pa.Array) -> pa.Array:
+        import numpy as np
+
+        x, noise, center, cov = (a.flatten().to_numpy(zero_copy_only=False) for a in (x, noise, center, cov))
+        k = len(_NAMES)
+        off, own = (x - center).reshape(-1, k), cov.reshape(-1, k, k).copy()
+        own[:, range(k), range(k)] += noise.reshape(-1, k)
+        return pa.array(np.einsum("ij,ij->i", off, np.linalg.solve(own, off[..., None])[..., 0]), pa.float64())
+
+    distance = F.arrow_udf(solve, "double").asNondeterministic()  # a filter doesn't compute it again
+    return rows.withColumn(name, distance(F.array(*_NAMES), F.array(*_noise_of(rows).values()), "center", "cov"))
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -175,9 +199,9 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 
 def outliers(rows: DataFrame, scratch: shared.Scratch) -> DataFrame:
-    """(key, center, inverse): the reweighted minimum-covariance-determinant estimate of each group of rows.
+    """(key, center, cov, inverse): the reweighted minimum-covariance-determinant estimate of each group of rows.
 
-    rows: g_lang, g_source and the statistics of FLOORS. The start is each group's medians and median deviations (a
+    rows: g_lang, g_source, the statistics and, unless none, the counting noise of _noise. The start is each group's medians and median deviations (a
     deterministic start); a C-step takes the SUPPORT share of rows nearest to the estimate and estimates anew,
     which never raises the determinant. Quantiles are sketches (relative rank error 1e-3) and moments are sums, so
     a group of any size is aggregated in parts; no group is ever in one task.
@@ -186,14 +210,14 @@ def outliers(rows: DataFrame, scratch: shared.Scratch) -> DataFrame:
     median = lambda c: F.percentile_approx(c, 0.5, accuracy)
     centers = scratch.table(rows.groupBy(*_KEY).agg(*[median(n).alias(f"m_{n}") for n in _NAMES]))
     near = _by_key(rows, centers)
-    spreads = scratch.table(near.groupBy(*_KEY).agg(*[F.first(f"m_{n}").alias(f"m_{n}") for n in _NAMES], *[F.greatest(1.4826 * median(F.abs(F.col(n) - F.col(f"m_{n}"))), F.lit(f)).alias(f"d_{n}") for n, f in FLOORS.items()]))
-    start = reduce(lambda a, b: a + b, [((F.col(n) - F.col(f"m_{n}")) / F.col(f"d_{n}")) ** 2 for n in _NAMES])
+    spreads = scratch.table(near.groupBy(*_KEY).agg(*[F.first(f"m_{n}").alias(f"m_{n}") for n in _NAMES], *[(1.4826 * median(F.abs(F.col(n) - F.col(f"m_{n}")))).alias(f"d_{n}") for n in _NAMES]))
+    start = reduce(lambda a, b: a + b, [(F.col(n) - F.col(f"m_{n}")) ** 2 / (F.col(f"d_{n}") ** 2 + v + TINY) for n, v in _noise_of(rows).items()])
     near = _by_key(rows, spreads).withColumn("d", start)
     logdet = None
     for _ in range(STEPS):
         limits = scratch.table(near.groupBy(*_KEY).agg(F.percentile_approx("d", SUPPORT, accuracy).alias("limit")))
         params = scratch.table(_estimate(_moments(_by_key(near, limits).where("d <= limit")), _consistency(SUPPORT)))
-        near = _by_key(rows, params.drop("logdet")).withColumn("d", _distance())
+        near = _with_distance(_by_key(rows, params.drop("logdet")))
         if logdet is not None and shared.small(logdet.join(params.withColumnRenamed("logdet", "now"), _KEY).where("logdet - now > 0.001"), 0):
             break
         logdet = params.select(*_KEY, "logdet")
@@ -202,23 +226,24 @@ def outliers(rows: DataFrame, scratch: shared.Scratch) -> DataFrame:
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """id_col, the statistics, base_failed, distance (squared Mahalanobis distance of the transformed statistics) and kept.
+    """id_col, the statistics, base_failed, distance (squared Mahalanobis distance of the transformed
+    statistics, the document's counting noise added to the variances) and kept.
 
     base_failed: fewer than 50 words, or over half of them in repeated windows. Others are kept unless their
     distance to the estimate of their language and source exceeds the chi-square quantile of PASS. Estimates are over
     all rows that pass the base rules. Groups of fewer than LEAST_GROUP rows are pooled; a pool that is still smaller is
-    estimated with the floors. Null texts have no words and fail the base rules. Rows stay, repeated or of null id.
+    estimated as it is. Null texts have no words and fail the base rules. Rows stay, repeated or of null id.
     """
     with shared.Scratch(df.sparkSession) as scratch:
         named = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{text_col}`").alias("text"))
         stats = statistics(named, ["doc_id", "lang", "source"])
-        marked = scratch.table(stats.withColumn("base_failed", base_failed()).withColumns(_vector()))
+        marked = scratch.table(stats.withColumn("base_failed", base_failed()).withColumns(_vector() | _noise()))
         rows = _grouped(marked.where("not base_failed"))
         rows = scratch.table(rows)
-        params = outliers(rows.select(*_KEY, *_NAMES), scratch)
+        params = outliers(rows.select(*_KEY, *_NAMES, *_noise()), scratch)
         cut = _quantile(PASS, len(_NAMES))
         plain = ["doc_id", *_STATS, "base_failed"]
-        judged = _by_key(rows, params).withColumn("distance", _distance()).select(*plain, "distance", (F.col("distance") <= cut).alias("kept"))
+        judged = _with_distance(_by_key(rows, params), "distance").select(*plain, "distance", (F.col("distance") <= cut).alias("kept"))
         failed = marked.where("base_failed").select(*plain, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
         found = scratch.keep(judged.unionByName(failed))
     return found.withColumnRenamed("doc_id", id_col)

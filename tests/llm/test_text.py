@@ -231,6 +231,37 @@ def test_rules_edges(spark):
     assert quality_rules.judge(df.limit(0)).count() == 0
 
 
+def test_rules_reject_rare_symbols_lines_and_words(spark):
+    """In a source where all else is clean, each statistic alone rejects; a few symbols or a repetition don't."""
+    rng = random.Random(5)
+
+    def lines(n, k):
+        return [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 8))) for _ in range(k)) for _ in range(n)]
+
+    clean = [(i, "\n".join(lines(10, 20))) for i in range(80)]
+    symbols, few = "\n".join(f"{x} # # #" for x in lines(10, 7)), "\n".join([*lines(9, 20), "a # b"])
+    short = lines(20, 1)
+    again = "\n".join([*lines(10, 20), *short, *short])
+    part = lines(1, 90)[0]
+    alone = "\n".join(lines(5, 14) + [" ".join(w[:-1] + "#" for w in x.split()) for x in lines(5, 6)])
+    odd = [(905, alone), (900, symbols), (901, few), (902, again), (903, "\n".join([*lines(4, 60), f"{part} {part}"])), (904, "\n".join([*lines(9, 20), "one two three four one two three"]))]
+    df = spark.createDataFrame(clean + odd, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source")
+    got = {r["doc_id"]: r for r in quality_rules.judge(df).collect()}
+    assert (got[900]["n_symbols"], got[900]["n_words"], got[902]["n_dup_lines"]) == (30, 100, 20) and not any(r["base_failed"] for r in got.values())
+    assert (got[905]["n_symbols"], got[905]["n_words"], got[905]["n_repeat_words"]) == (30, 100, 0)
+    assert [got[i]["kept"] for i in (900, 901, 902, 903, 904, 905)] == [False, True, False, False, True, False]
+    assert all(got[i]["kept"] for i, _ in clean)
+
+
+def test_rules_reject_junk(spark):
+    """Of the labelled documents that pass the base rules, all of label 0 and at most one in 500 of label 1 are rejected."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    judged = [(labels.get(r["doc_id"]), r["kept"], r["distance"]) for r in quality_rules.judge(spark.read.parquet(f"{sf}/documents.parquet")).where("not base_failed").collect()]
+    assert sum(q == 0 for q, *_ in judged) > 10 and min(d for q, _, d in judged if q == 0) > 2 * quality_rules._quantile(quality_rules.PASS, 4)
+    assert sum(q == 1 and not k for q, k, _ in judged) <= sum(q == 1 for q, *_ in judged) / 500
+
+
 def test_mcd_is_numpy_s(spark):
     """On one group, the distances are those of C-steps done with numpy (quantiles differ by a sketch's error)."""
     rng = np.random.default_rng(3)
