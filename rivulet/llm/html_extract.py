@@ -43,6 +43,10 @@ ASIDE_WORDS = frozenset(
 )
 CONTENT = frozenset(("article", "main"))
 
+#: Elements that are pieces of the article they stand beside, and those of them and in them whose container is the next one up.
+PIECES = frozenset("ul ol dl table pre blockquote figure".split())
+NESTED = frozenset("ul ol li dl dd dt blockquote figure pre".split())
+
 _TAG = re.compile(r"<(?:!--(?:.*?--!?>|.*)|!\[CDATA\[.*?\]\]>|[!?][^>]*+>?|(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+|[^>]*+)(?:>|$))", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORDS = re.compile(r"[a-z]+")
@@ -73,14 +77,15 @@ def _mark(name: str, rest: str) -> str:
     return name
 
 
-def blocks(page: str) -> list[tuple[str, bool, str, int]]:
-    """(path, within an article or main, text, characters in links) of each block with text, in page order.
+def blocks(page: str) -> list[tuple[str, bool, str, int, list[tuple[str, int]]]]:
+    """(path, within an article or main, text, characters in links, elements) of each block with text, in page order.
 
-    A block is the text between two boundaries of elements that aren't inline; its path leads from the root over
+    elements: name and number of each element of the path. A block is the text between two boundaries of elements that aren't inline; its path leads from the root over
     the elements that aren't inline. What is aside (menus, notices, scripts and the like) has no blocks.
     """
-    out: list[tuple[str, bool, str, int]] = []
-    stack: list[tuple[str, str]] = []  # name, and mark of elements that aren't inline
+    out: list[tuple[str, bool, str, int, list[tuple[str, int]]]] = []
+    stack: list[tuple[str, str, int]] = []  # name, mark of elements that aren't inline, and number
+    opened = 0
     skip = 0  # depth of the stack at which what is aside began
     held: list[str] = []
     linked = 0
@@ -91,8 +96,8 @@ def blocks(page: str) -> list[tuple[str, bool, str, int]]:
             text = "".join(held)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                names = [n for n, _ in stack]
-                out.append(("/".join(m for _, m in stack if m), not CONTENT.isdisjoint(names), text, linked))
+                names = [n for n, _, _ in stack]
+                out.append(("/".join(m for _, m, _ in stack if m), not CONTENT.isdisjoint(names), text, linked, [(n, k) for n, m, k in stack if m]))
             held.clear()
         linked = 0
 
@@ -109,7 +114,7 @@ def blocks(page: str) -> list[tuple[str, bool, str, int]]:
             continue
         if lt > at and not skip:
             held.append(page[at:lt])
-            if any(n == "a" for n, _ in stack[-3:]):
+            if any(n == "a" for n, _, _ in stack[-3:]):
                 linked += lt - at
         if m is None:
             break
@@ -166,7 +171,8 @@ def blocks(page: str) -> list[tuple[str, bool, str, int]]:
             if skip == len(stack) + 1:
                 skip = 0
             continue
-        stack.append((name, "" if inline else _mark(name, rest)))
+        opened += 1
+        stack.append((name, "" if inline else _mark(name, rest), opened))
     if not skip:
         flush()
     return out
@@ -185,6 +191,42 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
+def _container(elements: list[tuple[str, int]]) -> int:
+    """How many elements lead to the container of a block of these elements, itself included."""
+    k = len(elements) - 1
+    while k > 0 and elements[k - 1][0] in NESTED:
+        k -= 1
+    return k
+
+
+def _followers(found: list[tuple], chosen: list[bool], links: list[bool]) -> list[bool]:
+    """Blocks that follow chosen ones: those between two chosen blocks of one container (the same element, or one within
+    the body that holds two elements of the same path), and pieces, paragraphs and loose text beside one in its container.
+    Blocks of `links` don't follow."""
+    at = [i for i, c in enumerate(chosen) if c]
+    out = [False] * len(found)
+    holders = set()
+    for i in at:
+        elements = found[i][4]
+        holders.update(k for _, k in elements[-1:] + elements[max(0, _container(elements) - 1) : _container(elements)])
+    for i, j in zip(at, at[1:]):
+        a, b = found[i][4], found[j][4]
+        shared = sum(x == y for x, y in zip(a, b))
+        same = shared and (shared == _container(a) or shared == _container(b)) or found[i][0] == found[j][0] and shared and a[shared - 1][0] not in ("html", "body")
+        if same:
+            for k in range(i + 1, j):
+                out[k] = not links[k]
+    for i, (*_, elements) in enumerate(found):
+        if links[i] or chosen[i] or out[i]:
+            continue
+        for depth, (name, number) in enumerate(elements):
+            if number in holders:
+                rest = [n for n, _ in elements[depth + 1 :]]
+                if not rest or rest == ["p"] or not PIECES.isdisjoint(rest[:1] if name in ("html", "body") else rest):
+                    out[i] = True
+    return out
+
+
 def main_text(page: str | None, share: float = 0.1) -> str:
     """The article's blocks, one a line; empty for a null or empty page.
 
@@ -192,7 +234,9 @@ def main_text(page: str | None, share: float = 0.1) -> str:
     ratios are smoothed over the blocks in page order and fused by their geometric mean with the path's own, so
     that a short block amid prose keeps up. Paths under an article or main element lead if there are any with
     text; a page without them is judged by ratios alone. A path is selected if its mean fused ratio reaches `share`
-    of the mean over characters of the leading ones; headings that stand before or amid selected blocks stay.
+    of the mean over characters of the leading ones; headings that stand before or amid selected blocks stay. Under an
+    article or main only paths that are mostly links can fail; elsewhere blocks between and beside selected ones in
+    the same container follow them, unless their path is mostly links.
     """
     found = blocks(page or "")
     if any(b[1] for b in found):
@@ -200,7 +244,7 @@ def main_text(page: str | None, share: float = 0.1) -> str:
     if not found:
         return ""
     counts: dict[str, list[float]] = {}
-    for path, _, text, linked in found:
+    for path, _, text, linked, _ in found:
         c = counts.setdefault(path, [0, 0, 0, 0])
         c[0] += 1
         c[1] += max(0, len(text) - linked)
@@ -217,14 +261,18 @@ def main_text(page: str | None, share: float = 0.1) -> str:
     size = sum(c[1] for c in counts.values())
     mean = sum(ratio[p] * c[1] for p, c in counts.items()) / size if size else 0.0
     inside = found[0][1]
-    chosen = set()
-    for p, c in counts.items():
-        mostly_links = c[3] > c[1] and not inside
-        if ratio[p] >= (share if inside else 0.5) * mean and not mostly_links:
+    chosen, links = set(), {p for p, c in counts.items() if c[3] > c[1]}
+    for p in counts:
+        enough = ratio[p] >= (share if inside else 0.5) * mean
+        if (enough or p not in links) if inside else (enough and p not in links):
             chosen.add(p)
     heading = re.compile(r"h[1-6]")
-    last = max((i for i, b in enumerate(found) if b[0] in chosen), default=-1)
-    kept = [b[2] for i, b in enumerate(found) if b[0] in chosen or i < last and heading.fullmatch(b[0].rpartition("/")[2].partition(".")[0])]
+    picked = [b[0] in chosen for b in found]
+    if not inside:
+        follow = _followers(found, picked, [b[0] in links for b in found])
+        picked = [a or b for a, b in zip(picked, follow)]
+    last = max((i for i, x in enumerate(picked) if x), default=-1)
+    kept = [b[2] for i, b in enumerate(found) if picked[i] or i < last and heading.fullmatch(b[0].rpartition("/")[2].partition(".")[0])]
     return "\n".join(kept)
 
 

@@ -149,6 +149,23 @@ def test_html():
     assert len(html_extract.main_text(long)) == 23 * 20000 - 1
 
 
+@pytest.mark.parametrize("size", [300, 800, 1500])
+@pytest.mark.parametrize("inside", [True, False])
+def test_html_keeps_the_pieces_of_an_article(size, inside):
+    prose = ("Some words of prose, in a line. " * 60)[:size].strip()
+    items = [f"item no {i}" for i in range(12)]
+    bits = [f"<p>{prose}</p>", "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>", f"<p>{prose}</p>", "<table><tr><td>a</td><td>12</td></tr></table>", "<pre>x = 1</pre>"]
+    bits += [f"<p>{prose}</p><blockquote>So be it</blockquote>", "<ol>" + "".join(f"<li>{x}</li>" for x in items) + "</ol>"]
+    rest = [prose, *items, prose, "a", "12", "x = 1", prose, "So be it", *items]
+    menu = "<ul>" + "".join(f"<li class=m><a href=x>Link {i}</a>" for i in range(9)) + "</ul>"
+    name = "article" if inside else "div class=text"
+    page = f"<html><body><nav><a href=x>Home</a></nav><div class=menubox>{menu}</div><{name}><h1>Title</h1>{''.join(bits)}</{name.split()[0]}><div class=end>All rights</div>{menu}</body></html>"
+    assert html_extract.main_text(page).split("\n") == ["Title", *rest]
+    if not inside:
+        page = f"<html><body><h1>Title</h1>{''.join(bits)}<div class=end>All rights</div>{menu}</body></html>"
+        assert html_extract.main_text(page).split("\n") == ["Title", *rest]
+
+
 def test_html_of_all_pages(spark, sf):
     import html
 
