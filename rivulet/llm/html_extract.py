@@ -33,14 +33,17 @@ _CLOSES |= {
     "body": (frozenset(("head",)), frozenset(("html",))),
 }
 
-#: Elements, roles and words of a class or id that are never the article.
-ASIDE = frozenset("head script style noscript template nav header footer aside form button select option dialog iframe object embed canvas svg math audio video map menu title textarea input datalist fieldset legend".split())
+#: Elements and roles that are never the article; words of a class or id, and elements, that aren't unless they wrap it.
+ASIDE = frozenset("head script style noscript template nav header footer aside button select option dialog iframe object embed canvas svg math audio video map menu title textarea input datalist legend".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status tablist tooltip".split())
 ASIDE_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header
     login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related reply replies
     respond share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets""".split()
 )
+WRAPPERS = frozenset(("form", "fieldset"))
+#: A name with one of these words (has-sidebar, no-comments) says what the page has, not what the element is.
+MODIFIERS = frozenset("has have no not non with without is hide hides show shows enable enabled disable disabled".split())
 CONTENT = frozenset(("article", "main"))
 
 #: Elements that are pieces of the article they stand beside, and those of them and in them whose container is the next one up.
@@ -53,21 +56,36 @@ _WORDS = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…।؟،]")
 
 
-def _aside(name: str, rest: str) -> bool:
+def _named(value: str) -> str:
+    """"whole" if all words of one of the names are aside words, "part" if some are; else nothing."""
+    found = ""
+    for name in value.split():
+        words = _WORDS.findall(name)
+        if ASIDE_WORDS.isdisjoint(words) or not MODIFIERS.isdisjoint(words):
+            continue
+        if ASIDE_WORDS.issuperset(words):
+            return "whole"
+        found = "part"
+    return found
+
+
+def _aside(name: str, rest: str) -> str:
+    """"firm" for what is never the article, "whole" or "part" for what is aside by its name unless it wraps the article."""
     if name in ASIDE:
-        return True
+        return "firm"
+    found = "part" if name in WRAPPERS else ""
     if not rest or "=" not in rest and "hidden" not in rest:
-        return False
+        return found
     for m in _ATTRIBUTE.finditer(rest):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id") and name not in CONTENT and name not in ("html", "body"):
-            if ASIDE_WORDS.intersection(_WORDS.findall(value)):
-                return True
+            kind = _named(value)
+            found = kind if kind == "whole" else found or kind
         elif key == "role" and value.strip() in ASIDE_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return "firm"
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return "firm"
+    return found
 
 
 def _mark(name: str, rest: str) -> str:
@@ -81,11 +99,13 @@ def blocks(page: str) -> list[tuple[str, bool, str, int, list[tuple[str, int]]]]
     """(path, within an article or main, text, characters in links, elements) of each block with text, in page order.
 
     elements: name and number of each element of the path. A block is the text between two boundaries of elements that aren't inline; its path leads from the root over
-    the elements that aren't inline. What is aside (menus, notices, scripts and the like) has no blocks.
+    the elements that aren't inline. What is aside (menus, notices, scripts and the like) has no blocks, but for
+    elements that wrap the article.
     """
     out: list[tuple[str, bool, str, int, list[tuple[str, int]]]] = []
     stack: list[tuple[str, str, int]] = []  # name, mark of elements that aren't inline, and number
     opened = 0
+    weak: dict[int, str] = {}  # elements that are aside unless they wrap the article
     skip = 0  # depth of the stack at which what is aside began
     held: list[str] = []
     linked = 0
@@ -157,9 +177,8 @@ def blocks(page: str) -> list[tuple[str, bool, str, int, list[tuple[str, int]]]]
             flush()
         if name in VOID:
             continue
-        if not skip and _aside(name, rest):
-            if inline:
-                pass
+        kind = "" if skip else _aside(name, rest)
+        if kind == "firm" or kind and inline:
             skip = len(stack) + 1
         if name in RAW:
             end = re.compile(rf"</{name}\s*[^>]*>", re.I).search(page, at)
@@ -172,10 +191,42 @@ def blocks(page: str) -> list[tuple[str, bool, str, int, list[tuple[str, int]]]]
                 skip = 0
             continue
         opened += 1
+        if kind and not skip:
+            weak[opened] = kind
         stack.append((name, "" if inline else _mark(name, rest), opened))
     if not skip:
         flush()
-    return out
+    return _cut(out, weak) if weak else out
+
+
+def _cut(found: list[tuple], weak: dict[int, str]) -> list[tuple]:
+    """Blocks outside of the weak elements that don't wrap the article.
+
+    One that is aside by part of a name, or a form, wraps it if it holds all articles and mains of the page or over half of
+    its text; one by a whole name if it holds all articles and over half of the text, or over nine tenths of the text.
+    What is aside by a whole name within counts for neither. If nothing were left, nothing is cut.
+    """
+    total, free = 0, False
+    size, holds = dict.fromkeys(weak, 0), set()
+    for _, _, text, _, elements in found:
+        total += len(text)
+        above: list[int] = []
+        for name, k in elements:
+            if name in CONTENT:
+                free = free or not above
+                holds.update(above)
+            if k in weak:
+                if weak[k] == "whole":
+                    above = []
+                above.append(k)
+        for k in above:
+            size[k] += len(text)
+    wraps = set()
+    for k, kind in weak.items():
+        article, most = k in holds and not free, 2 * size[k] > total
+        if (article or most) if kind == "part" else (article and most or 10 * size[k] > 9 * total):
+            wraps.add(k)
+    return [b for b in found if all(k not in weak or k in wraps for _, k in b[4])] or found
 
 
 def _smooth(values: list[float]) -> list[float]:

@@ -166,6 +166,20 @@ def test_html_keeps_the_pieces_of_an_article(size, inside):
         assert html_extract.main_text(page).split("\n") == ["Title", *rest]
 
 
+WRAPS = ["<div class='layout has-sidebar'>", "<div class='post no-comments'>", "<div id='page' class='with-header'>", "<form action='x'>", "<div class='layout-sidebar'>", "<div class='widget'>", "<div class=page><div class='header-wrap'>"]
+
+
+@pytest.mark.parametrize("wrap", WRAPS)
+def test_html_wrappers_named_aside_stay(wrap):
+    body = "<h1>Title</h1><p>" + "Words of prose, in a line. " * 20 + "</p><p>More of it, in short.</p>"
+    want = html_extract.main_text(f"<article>{body}</article>")
+    aside = "<div class='sidebar'><p>Buy, now. Buy, now.</p></div><section class='comments'><p>Great post, thanks!</p></section><div class='ad-slot'>Ad</div><form><p>Search</p></form>"
+    assert want.count("\n") == 2
+    for inner in (f"<article>{body}{aside}</article>{aside}", f"{aside}<div class=text>{body}</div>{aside}"):
+        assert html_extract.main_text(f"<html><body><nav>Menu</nav>{wrap}{inner}</body></html>") == want
+    assert html_extract.main_text(f"<body><article>{body}</article><div class='sidebar'><article>Teaser, of another.</article></div></body>") == want
+
+
 def test_html_of_all_pages(spark, sf):
     import html
 
