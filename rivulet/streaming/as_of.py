@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -74,9 +74,11 @@ class AsOf(StatefulProcessor):
         pass
 
 
-def stream_as_of_join(left: DataFrame, right: DataFrame, on: dict[str, str], left_time: str, right_time: str, how: str = "inner", op: str | None = None, delay: str = "2 seconds") -> DataFrame:
+def stream_as_of_join(left: DataFrame, right: DataFrame, on: dict[str, str], left_time: str, right_time: str, how: str = "inner", op: str | None = None, delay: str = "2 seconds", condition: Column | None = None) -> DataFrame:
     """left joined with the latest version in right of its key, emitted when the watermark (the lesser of both sides', by
-    one shared delay) passes the left row's time. Columns that both sides have are renamed right_<name>."""
+    one shared delay) passes the left row's time. Columns that both sides have are renamed right_<name>.
+
+    condition: tested on the chosen pair, by the names of the result; a pair that fails is no match."""
     names = {c: c if c not in left.columns else f"right_{c}" for c in right.columns}
     ls, rs = left.schema, T.StructType([T.StructField(names[f.name], f.dataType) for f in right.schema.fields])
     millis = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
@@ -91,4 +93,10 @@ def stream_as_of_join(left: DataFrame, right: DataFrame, on: dict[str, str], lef
     )
     both = a.withWatermark("__ts", delay).unionByName(b.withWatermark("__ts", delay))
     out = T.StructType([*[T.StructField(f.name, f.dataType) for f in ls.fields], *rs.fields])
-    return both.groupBy(*keys).transformWithState(AsOf(ls, rs, how), out, "Append", "EventTime")
+    joined = both.groupBy(*keys).transformWithState(AsOf(ls, rs, how), out, "Append", "EventTime")
+    if condition is None:
+        return joined
+    if how != "left":
+        return joined.where(condition)
+    passed = F.coalesce(condition, F.lit(False))
+    return joined.select(*[F.col(f"`{c}`") for c in ls.names], *[F.when(passed, F.col(f"`{c}`")).alias(c) for c in rs.names])

@@ -3,6 +3,7 @@
 import time
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,6 +104,25 @@ def test_stream_as_of(spark, tmp_path):
     assert {r for r in got if not r[0].startswith("z")} == {("t1", 0.8), ("t2", 0.8), ("t3", 1.0), ("t4", 0.9), ("e", None), ("g", 2.0), ("h", None)}
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_stream_as_of_condition(spark, tmp_path, how):
+    """The condition is tested on the latest version alone: no earlier one takes its place, and left rows are padded."""
+    left, right = Feed(spark, tmp_path / "l", "id string, code string, t timestamp"), Feed(spark, tmp_path / "r", "code string, rt timestamp, rate double")
+    joined = as_of.stream_as_of_join(left.stream(), right.stream(), {"code": "code"}, "t", "rt", how, condition=F.col("rate") < 0.85)
+
+    def first():
+        right.add([("USD", at(1), 0.8), ("USD", at(3), 0.9), ("USD", at(5), None)])
+        left.add([("a", "USD", at(0)), ("b", "USD", at(2)), ("c", "USD", at(4)), ("d", "USD", at(6))])
+
+    def end():
+        left.add([("z", "end", at(1000))])
+        right.add([("end", at(1000), 0.1)])
+
+    got = collect(joined.select("id", "right_code", "rate"), f"asof_condition_{how}", [first, end, lambda: left.add([("z2", "end", at(2000))])])
+    padded = {("a", None, None), ("c", None, None), ("d", None, None)} if how == "left" else set()
+    assert {r for r in got if not r[0].startswith("z")} == {("b", "USD", 0.8), *padded}
+
+
 def test_punctuated(spark, tmp_path):
     feed = Feed(spark, tmp_path / "in", "k string, t long, watermarkMarker boolean, watermarkTimestamp long")
     found = watermarks.punctuated(feed.stream(), ["k"], "t").select("t", "watermark", "late")
