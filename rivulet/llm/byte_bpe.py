@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import shared, vocabulary
-from .pretokens import BYTE_CHARS, Encoder, byte_mapped
+from .pretokens import BYTE_CHARS, Encoder, byte_mapped, flat
 
 
 def _varint(n: int) -> bytes:
@@ -48,7 +49,7 @@ def piece_model(ranks: dict[bytes, int]) -> bytes:
 
 
 class Codec:
-    """Ids of texts, as little-endian unsigned 32-bit integers, and back.
+    """Ids of texts, and back.
 
     A pre-token that is in the vocabulary is its own id; the model merges the others, lowest rank first.
     """
@@ -58,18 +59,25 @@ class Codec:
 
         self.ranks = vocabulary.ranks(data)
         self.by_piece = [0, *sorted(self.ranks.values())]
-        self.raw = {rank: raw for raw, rank in self.ranks.items()}
+        inverse = {rank: raw for raw, rank in self.ranks.items()}
+        self.raw = pa.array([inverse.get(i) for i in range(self.by_piece[-1] + 1)], pa.binary())
         self.model = sentencepiece.SentencePieceProcessor()
         self.model.LoadFromSerializedProto(piece_model(self.ranks))
-        self.encode = Encoder(pattern, self._piece)
+        self.encode = Encoder(pattern, self._pieces)
 
-    def _piece(self, piece: str) -> bytes:
-        whole = self.ranks.get(piece.encode())
-        ids = [whole] if whole is not None else [self.by_piece[i] for i in self.model.EncodeAsIds(byte_mapped(piece))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _pieces(self, pieces: list[str]) -> pa.ListArray:
+        whole = [self.ranks.get(p.encode()) for p in pieces]
+        split = iter(self.model.EncodeAsIds([byte_mapped(p) for p, w in zip(pieces, whole) if w is None], num_threads=1))
+        by_piece = self.by_piece
+        return flat([[w] if w is not None else [by_piece[i] for i in next(split)] for w in whole])
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.raw.__getitem__, ids))
+    def decode(self, lists: pa.ListArray) -> pa.BinaryArray:
+        """The bytes of each list of ids: each id's by the inverse of the vocabulary, one after the other."""
+        pieces = self.raw.take(lists.flatten())
+        ends = pieces.buffers()[1]
+        ends = np.frombuffer(ends, np.int32, len(pieces) + 1) if ends else np.zeros(1, np.int32)
+        at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends[at].tobytes()), pieces.buffers()[2]])
 
 
 def byte_bpe(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,15 +89,10 @@ def byte_bpe(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     """
     data: Broadcast = vocabulary.load(df.sparkSession, rank_path)
 
-    def make(texts: list[str | None]) -> list[pa.Array]:
-        import numpy as np
-
+    def make(texts: pa.Array) -> list[pa.Array]:
         codec = vocabulary.once("codec " + pattern, data, lambda raw: Codec(raw, pattern))
-        coded = [codec.encode(t) if t else b"" for t in texts]
-        ids = np.frombuffer(b"".join(coded), "<i4")
-        ends = np.cumsum([0, *(len(c) // 4 for c in coded)], dtype=np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))
-        return [lists, pa.array([codec.decode(x.tolist()) for x in np.split(ids, ends[1:-1])] if texts else [], pa.binary())]
+        ids = codec.encode(texts)
+        return [ids, codec.decode(ids)]
 
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
-    return shared.text_map(df, text_col, [id_col], fields, make)
+    return shared.text_map(df, text_col, [id_col], fields, make, arrow_texts=True)

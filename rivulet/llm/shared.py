@@ -21,6 +21,9 @@ BROADCAST_ROWS = 50_000
 #: Texts are handed to numpy in slices of about so many bytes, so that a worker's memory doesn't follow the batch.
 SLICE_BYTES = 4 << 20
 
+#: As much for what handles the distinct words of a slice: the larger the slice, the fewer there are.
+BULK_BYTES = 16 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -90,11 +93,12 @@ class Scratch:
 
 
 
-def text_map(df: DataFrame, text_col: str, keep: list[str], fields: list[T.StructField], make: Callable) -> DataFrame:
+def text_map(df: DataFrame, text_col: str, keep: list[str], fields: list[T.StructField], make: Callable, arrow_texts: bool = False) -> DataFrame:
     """Columns `keep` as they are, and columns `fields` that `make(texts)` gives for each slice of texts.
 
     `make` gets a list of str (null as None) of about SLICE_BYTES bytes, or one longer text, and returns a
-    list of Arrow arrays, one for each field. The other columns of df never reach Python.
+    list of Arrow arrays, one for each field. With arrow_texts it gets an Arrow array of strings, nulls as empty
+    ones, of about BULK_BYTES. The other columns of df never reach Python.
     """
     kept = [df.schema[c] for c in keep]
     schema = T.StructType([*kept, *fields])
@@ -105,22 +109,23 @@ def text_map(df: DataFrame, text_col: str, keep: list[str], fields: list[T.Struc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, batch.schema.get_field_index("__text")):
-                made = make(part.column(part.num_columns - 1).to_pylist())
+            for part in slices(batch, batch.num_columns - 1, BULK_BYTES if arrow_texts else SLICE_BYTES):
+                texts = part.column(part.num_columns - 1)
+                made = make(texts.fill_null("") if arrow_texts else texts.to_pylist())
                 columns = [*part.columns[:-1], *made]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, arrow)], schema=arrow)
 
     return narrow.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about SLICE_BYTES of column `text`, a row at least."""
+def slices(batch: pa.RecordBatch, text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `limit` bytes of column `text`, a row at least."""
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start = held = 0
     for i, n in enumerate(sizes):
-        if held and held + n > SLICE_BYTES:
+        if held and held + n > limit:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += n

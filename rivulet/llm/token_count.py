@@ -6,7 +6,9 @@ import json
 import unicodedata
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -17,6 +19,10 @@ from . import shared, vocabulary
 from .pretokens import BYTE_CHARS, Memo, explicit
 
 
+#: Merging in Python is dear, so words are kept in larger memos (twice so many bytes) than elsewhere.
+MEMO_BYTES = 48 << 20
+
+
 class PairCounter:
     """Counts what a word merges to: the initial symbols less the merges made.
 
@@ -75,8 +81,7 @@ class TextCounter:
             raise ValueError("a BPE vocabulary with NFC, white space and lower case normalisation is needed")
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.find = regex.compile(explicit(split)).findall
-        self.piece = Memo(PairCounter(spec["model"]["vocab"], spec["model"]["merges"], spec["model"]["end_of_word_suffix"]))
-        self.word = Memo(self._word)
+        self.piece = Memo(PairCounter(spec["model"]["vocab"], spec["model"]["merges"], spec["model"]["end_of_word_suffix"]), MEMO_BYTES)
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True))))
         self.marks = special
@@ -87,18 +92,29 @@ class TextCounter:
         word = word.lower() if "Σ" not in word else "".join(map(str.lower, word))
         return sum(self.piece[p.encode()] for p in self.find(word))
 
-    def _plain(self, text: str) -> int:
-        # White space never reaches a token and composes with nothing: words count by themselves. str.split()
-        # also parts at U+001C to U+001F, which are symbols to the library.
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self._word(text)
-        return sum(map(self.word.__getitem__, text.split()))
-
-    def __call__(self, text: str) -> int:
-        if any(m in text for m in self.marks):
-            parts = self.special.split(text)
-            return len(parts) - 1 + sum(map(self._plain, parts))
-        return self._plain(text)
+    def _whole(self, text: str) -> int:
+        parts = self.special.split(text)
+        return len(parts) - 1 + sum(map(self._word, parts))
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        """The number of tokens of each text; texts: strings without nulls."""
+        # str.split() also parts at U+001C to U+001F, which are symbols to the library.
+        odd = pc.match_substring_regex(texts, "[\x1c-\x1f]").to_numpy(zero_copy_only=False).copy()
+        for m in self.marks:
+            odd |= pc.match_substring(texts, m).to_numpy(zero_copy_only=False)
+        out = np.zeros(len(texts), np.int64)
+        at = np.flatnonzero(odd)
+        if len(at):
+            out[at] = [self._whole(t) for t in texts.take(pa.array(at)).to_pylist()]
+            texts = texts.filter(pa.array(~odd))
+        # White space never reaches a token and composes with nothing: words count by themselves, each distinct one once.
+        cut = pc.utf8_split_whitespace(texts)
+        words = cut.flatten().dictionary_encode()
+        counts = np.fromiter(map(self._word, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+        ends = cut.offsets.to_numpy()
+        sums = np.concatenate([[0], np.cumsum(counts[words.indices.to_numpy()])])
+        out[~odd] = sums[ends[1:] - ends[0]] - sums[ends[:-1] - ends[0]]
+        return out
 
 
 def token_counts(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,12 +125,12 @@ def token_counts(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_co
     """
     data: Broadcast = vocabulary.load(df.sparkSession, vocab_path)
 
-    def make(texts: list[str | None]) -> list[pa.Array]:
+    def make(texts: pa.Array) -> list[pa.Array]:
         count = vocabulary.once("word counts", data, TextCounter)
-        return [pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array([count(t) if t else 0 for t in texts], pa.int64())]
+        return [pc.binary_length(texts).cast(pa.int64()), pa.array(count(texts))]
 
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]
-    return shared.text_map(df, text_col, [id_col], fields, make)
+    return shared.text_map(df, text_col, [id_col], fields, make, arrow_texts=True)
 
 
 def over_limit(counts: DataFrame, limit: int = 2048) -> DataFrame:

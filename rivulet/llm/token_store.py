@@ -6,7 +6,9 @@ import json
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import shared, vocabulary
-from .pretokens import Encoder, byte_mapped
+from .pretokens import Encoder, byte_mapped, flat, listed, merged
 
 #: Fixed value: how the byte-level pre-tokenizer of the library cuts texts.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -36,7 +38,7 @@ LAYOUT = {
 
 
 class LibraryEncoder:
-    """Ids as the tokenizers library gives them for whole texts, as little-endian unsigned 32-bit integers."""
+    """Ids as the tokenizers library gives them for whole texts."""
 
     def __init__(self, data: bytes):
         from tokenizers import Tokenizer
@@ -48,15 +50,38 @@ class LibraryEncoder:
         pre = spec["pre_tokenizer"] or {}
         # Pre-tokens can be encoded one by one if nothing but the byte-level cut comes before the merges.
         self.by_piece = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and spec["model"]["type"] == "BPE"
-        self.encoder = Encoder(BYTE_LEVEL_PATTERN, self._piece)
-
-    def _piece(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(byte_mapped(piece))]).tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        if self.by_piece and not any(m in text for m in self.marks):
-            return self.encoder(text)
-        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
+        self.encoder = Encoder(BYTE_LEVEL_PATTERN, self._pieces)
+
+    def _pieces(self, pieces: list[str]) -> pa.ListArray:
+        tokenize = self.model.tokenize
+        return flat([[t.id for t in tokenize(byte_mapped(p))] for p in pieces])
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __call__(self, texts: pa.Array) -> pa.ListArray:
+        """A list of ids for each text; texts: strings without nulls. Texts with a special string go through the library whole."""
+        if not self.by_piece:
+            return listed([self._whole(t) for t in texts.to_pylist()])
+        marked = np.zeros(len(texts), bool)
+        for m in self.marks:
+            marked |= pc.match_substring(texts, m).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(marked)
+        if not len(at):
+            return self.encoder(texts)
+        coded = listed([self._whole(t) for t in texts.take(pa.array(at)).to_pylist()])
+        return merged(len(texts), at, coded, self.encoder(texts.filter(pa.array(~marked))))
+
+
+def with_end(lists: pa.ListArray, end_id: int) -> pa.ListArray:
+    """The lists, end_id appended to each."""
+    before = lists.offsets.to_numpy().astype(np.int64)
+    ends = before - before[0] + np.arange(len(before))
+    out = np.full(int(ends[-1]), end_id, np.int32)
+    inside = np.ones(len(out), bool)
+    inside[ends[1:] - 1] = False
+    out[inside] = lists.flatten().to_numpy()
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out))
 
 
 def token_rows(df: DataFrame, vocab_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,7 +92,6 @@ def token_rows(df: DataFrame, vocab_path: str, end_id: int, id_col: str = "doc_i
     Other columns of df aren't read. One shuffle by ranges of doc_id; texts are encoded after it.
     """
     data: Broadcast = vocabulary.load(df.sparkSession, vocab_path)
-    end = end_id.to_bytes(4, "little")
     ordered = df.select(F.col(f"`{id_col}`").alias("doc_id"), shared.text_of(text_col).alias("text"))
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     schema = T.StructType([ordered.schema["doc_id"], T.StructField("shard", T.IntegerType()), T.StructField("first", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
@@ -76,16 +100,13 @@ def token_rows(df: DataFrame, vocab_path: str, end_id: int, id_col: str = "doc_i
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         encode = vocabulary.once("library", data, LibraryEncoder)
         shard, first = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in shared.slices(batch, 1):
-                coded = [encode(t) + end for t in part.column(1).to_pylist()]
-                ends = np.cumsum([0, *(len(c) // 4 for c in coded)], dtype=np.int64)
-                tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), "<i4")))
-                columns = [part.column(0), pa.array([shard] * len(coded), pa.int32()), pa.array(first + ends[:-1]), pa.array(np.diff(ends)), tokens.cast(arrow.field(4).type)]
+            for part in shared.slices(batch, 1, shared.BULK_BYTES):
+                tokens = with_end(encode(part.column(1)), end_id)
+                ends = tokens.offsets.to_numpy().astype(np.int64)
+                columns = [part.column(0), pa.array([shard] * len(tokens), pa.int32()), pa.array(first + ends[:-1]), pa.array(np.diff(ends)), tokens.cast(arrow.field(4).type)]
                 first += int(ends[-1])
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 

@@ -10,13 +10,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from rivulet.llm import byte_bpe, html_extract, quality_classifier, quality_rules, queries, token_count, token_store, url_filter
+from rivulet.llm import byte_bpe, html_extract, pretokens, quality_classifier, quality_rules, queries, token_count, token_store, url_filter
 
 ODD = ["", " ", "\n\n", "a\n\n", "a  b", "a   b ", "x\n \ny", "a\x1c!\x1d?", "ΑΣ ΣΑΣ", "é e\u0301", "<|endoftext|>a<|startoftext|><|endoftext|> b", "I'll it's 'S", "İI ẞ ﬁ", "12 34٣ ½²", "a\u2003b\u3000", "\x85 x\xa0y", "😀👍🏽 z", "tab\tx\r\n y", "a\n\n\nb c  \n", "x***\n!!y's"]
 random.seed(1)
@@ -41,8 +42,8 @@ def words():
 
 def test_counts_are_the_library_s(words, texts):
     mine, theirs = words
-    for t in texts:
-        assert mine(t) == len(theirs.encode(t, add_special_tokens=False).ids), t
+    for t, n in zip(texts, mine(pa.array(texts)).tolist()):
+        assert n == len(theirs.encode(t, add_special_tokens=False).ids), t
 
 
 @settings(max_examples=200, deadline=None)
@@ -50,7 +51,7 @@ def test_counts_are_the_library_s(words, texts):
 def test_counts_of_any_text(text):
     mine = _cached("count", lambda: token_count.TextCounter(read("word_bpe_49k.json")))
     theirs = _cached("library", lambda: Tokenizer.from_file(P.path("word_bpe_49k.json")))
-    assert mine(text) == len(theirs.encode(text, add_special_tokens=False).ids)
+    assert mine(pa.array([text, "", text])).tolist() == [len(theirs.encode(t, add_special_tokens=False).ids) for t in (text, "", text)]
 
 
 _CACHE = {}
@@ -69,16 +70,39 @@ def tiktoken_encoding():
 
 def test_byte_bpe_is_tiktoken_s(texts):
     codec, theirs = byte_bpe.Codec(read("byte_bpe_multi_50k.tiktoken"), P.PATTERN), tiktoken_encoding()
-    for t in texts:
-        ids = np.frombuffer(codec.encode(t), "<u4").tolist()
-        assert ids == theirs.encode_ordinary(t), t
-        assert codec.decode(ids) == t.encode()
+    for part in (texts, texts[1:], [""], []):
+        ids = codec.encode(pa.array(part, pa.string()))
+        assert ids.to_pylist() == [theirs.encode_ordinary(t) for t in part]
+        assert codec.decode(ids).to_pylist() == [t.encode() for t in part]
+        assert codec.decode(ids[1:]).to_pylist() == [t.encode() for t in part[1:]]
 
 
 def test_store_encoder_is_the_library_s(texts):
     mine, theirs = token_store.LibraryEncoder(read("byte_bpe_50k.json")), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    for t in texts:
-        assert np.frombuffer(mine(t), "<u4").tolist() == theirs.encode(t, add_special_tokens=False).ids, t
+    found = mine(pa.array(texts))
+    for t, ids in zip(texts, found.to_pylist()):
+        assert ids == theirs.encode(t, add_special_tokens=False).ids, t
+    assert token_store.with_end(found[1:], 7).to_pylist() == [[*x, 7] for x in found[1:].to_pylist()]
+
+
+@settings(max_examples=200, deadline=None)
+@given(alphabet)
+def test_encoders_of_any_text(text):
+    mine = _cached("store", lambda: token_store.LibraryEncoder(read("byte_bpe_50k.json")))
+    theirs = _cached("store library", lambda: Tokenizer.from_file(P.path("byte_bpe_50k.json")))
+    batch = [text, "", "a" + text + "b c", text + "\n\n"]
+    assert mine(pa.array(batch)).to_pylist() == [theirs.encode(t, add_special_tokens=False).ids for t in batch]
+
+
+def test_memo_is_bounded_by_bytes():
+    made = []
+    memo = pretokens.Memo(lambda k: made.append(k) or b"xxxx", 20_000)
+    for i in range(5000):
+        assert memo[f"k{i}"] == b"xxxx"
+        assert sum(map(len, (memo, memo.old))) < 300
+    n = len(made)
+    assert memo["k4999"] == b"xxxx" and len(made) == n
+    assert memo["k" * 1000] == b"xxxx" and "k" * 1000 not in memo
 
 
 def odd_documents(spark):
