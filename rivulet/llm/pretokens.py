@@ -83,14 +83,18 @@ class Encoder:
     def __init__(self, pattern: str, encode: Callable[[list[str]], pa.ListArray]):
         self.find = regex.compile(explicit(pattern)).findall
         self.encode = encode
-        self.piece = Memo(lambda p: encode([p]).flatten().to_numpy().tobytes())
 
-    def whole(self, text: str) -> bytes:
-        return b"".join(map(self.piece.__getitem__, self.find(text)))
+    def _coded(self, pieces: list[list[str]]) -> pa.ListArray:
+        """Ids of each list of pre-tokens; each distinct one is encoded once."""
+        at: dict[str, int] = {}
+        order = [at.setdefault(p, len(at)) for found in pieces for p in found]
+        found = self.encode(list(at)).take(pa.array(order, pa.int64()))
+        ends = np.cumsum([0, *map(len, pieces)], dtype=np.int64)
+        return pa.ListArray.from_arrays(found.offsets.take(pa.array(ends)), found.flatten())
 
-    def _part(self, part: str) -> bytes:
-        """Ids of a part of a text between two cuts, which a space or a newline precedes."""
-        return self.piece["\n"] + self.whole(part[1:]) if part[:1] == "\n" else self.whole(" " + part)
+    def _part(self, part: str) -> list[str]:
+        """Pre-tokens of a part of a text between two cuts, which a space or a newline precedes."""
+        return ["\n", *self.find(part[1:])] if part[:1] == "\n" else self.find(" " + part)
 
     def __call__(self, texts: pa.Array) -> pa.ListArray:
         """A list of ids (int32) for each text; texts: strings without nulls."""
@@ -98,7 +102,7 @@ class Encoder:
         at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         if not len(at):
             return self._plain(texts)
-        coded = listed([self.whole(t) for t in texts.take(pa.array(at)).to_pylist()])
+        coded = self._coded([*map(self.find, texts.take(pa.array(at)).to_pylist())])
         if len(at) == len(texts):
             return coded
         rest = self._plain(texts.filter(pc.invert(odd)))
@@ -111,7 +115,7 @@ class Encoder:
         coded = words.dictionary_encode()
         # The first part of a text has no space before it.
         heads = words.take(pa.array(ends[:-1])).dictionary_encode()
-        table = pa.concat_arrays([self._parts(coded.dictionary), listed([*map(self.whole, heads.dictionary.to_pylist())])])
+        table = pa.concat_arrays([self._parts(coded.dictionary), self._coded([*map(self.find, heads.dictionary.to_pylist())])])
         at = coded.indices.to_numpy().copy()
         at[ends[:-1]] = heads.indices.to_numpy() + len(coded.dictionary)
         sizes = np.diff(table.offsets.to_numpy())
@@ -123,10 +127,10 @@ class Encoder:
         stems = pc.utf8_rtrim(parts, MARKS)
         letters = pc.utf8_is_alpha(stems)
         at = np.flatnonzero(~letters.to_numpy(zero_copy_only=False))
-        odd = listed([*map(self._part, parts.take(pa.array(at)).to_pylist())])
+        odd = self._coded([*map(self._part, parts.take(pa.array(at)).to_pylist())])
         parts, stems = parts.filter(letters), stems.filter(letters)
         words, marks = stems.dictionary_encode(), _suffixes(parts, stems).dictionary_encode()
-        table = pa.concat_arrays([self.encode([" " + w for w in words.dictionary.to_pylist()]), listed([self.piece[m] if m else b"" for m in marks.dictionary.to_pylist()])])
+        table = pa.concat_arrays([self.encode([" " + w for w in words.dictionary.to_pylist()]), self._coded([[m] if m else [] for m in marks.dictionary.to_pylist()])])
         pairs = np.empty(2 * len(parts), np.int64)
         pairs[0::2], pairs[1::2] = words.indices.to_numpy(), marks.indices.to_numpy() + len(words.dictionary)
         found = table.take(pa.array(pairs))
