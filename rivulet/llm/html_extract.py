@@ -5,6 +5,8 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +35,11 @@ _CLOSES |= {
     "body": (frozenset(("head",)), frozenset(("html",))),
 }
 
-#: Elements and roles that are never the article; words of a class or id, and elements, that aren't unless they wrap it.
-ASIDE = frozenset("head script style noscript template nav header footer aside button select option dialog iframe object embed canvas svg math audio video map menu title textarea input datalist legend".split())
+#: Elements whose text isn't shown as text, or is a control's.
+NO_TEXT = frozenset("head script style noscript template button select option dialog iframe object embed canvas svg math audio video map title textarea input datalist legend".split())
+
+#: What says that an element isn't the article: elements, roles, and words of a class or id. All are weights of paths.
+ASIDE = frozenset("nav header footer aside menu".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status tablist tooltip".split())
 ASIDE_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header
@@ -46,6 +51,16 @@ WRAPPERS = frozenset(("form", "fieldset"))
 MODIFIERS = frozenset("has have no not non with without is hide hides show shows enable enabled disable disabled".split())
 CONTENT = frozenset(("article", "main"))
 
+#: Weights of paths by the weakest aside kind of their elements, and under an article or main.
+WEIGHTS = {"firm": 0.0, "whole": 0.1, "part": 0.3}
+CONTENT_WEIGHT = 16.0
+
+#: A path is selected from this share of the mean fused ratio on.
+SHARE = 0.85
+
+#: Elements are nested so deep at most; deeper ones count as text of the last. So a tag costs a bounded time.
+DEPTH = 128
+
 #: Elements that are pieces of the article they stand beside, and those of them and in them whose container is the next one up.
 PIECES = frozenset("ul ol dl table pre blockquote figure".split())
 NESTED = frozenset("ul ol li dl dd dt blockquote figure pre".split())
@@ -70,43 +85,54 @@ def _named(value: str) -> str:
 
 
 def _aside(name: str, rest: str) -> str:
-    """"firm" for what is never the article, "whole" or "part" for what is aside by its name unless it wraps the article."""
-    if name in ASIDE:
-        return "firm"
-    found = "part" if name in WRAPPERS else ""
+    """"none" for what has no shown text, else the kind of WEIGHTS or nothing."""
+    if name in NO_TEXT:
+        return "none"
+    found = "firm" if name in ASIDE else "part" if name in WRAPPERS else ""
     if not rest or "=" not in rest and "hidden" not in rest:
         return found
     for m in _ATTRIBUTE.finditer(rest):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id") and name not in CONTENT and name not in ("html", "body"):
-            kind = _named(value)
-            found = kind if kind == "whole" else found or kind
-        elif key == "role" and value.strip() in ASIDE_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return "firm"
+            found = min(found or "~", _named(value) or "~", key=lambda k: WEIGHTS.get(k, 1.0)).strip("~")
+        elif key == "role" and value.strip() in ASIDE_ROLES:
+            found = "firm"
+        elif key == "hidden" or key == "aria-hidden" and value == "true":
+            return "none"
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return "firm"
+            return "none"
     return found
 
 
-def _mark(name: str, rest: str) -> str:
-    """What stands for an element in a path: its name, and its class if it has one."""
-    if rest and (m := re.search(r"""\bclass\s*=\s*["']?([^\s"'>]+)""", rest)):
-        return f"{name}.{m[1]}"
-    return name
+class Element(NamedTuple):
+    name: str
+    mark: str  # what stands for it in a path: its name, first class and aside kind; empty if it is inline
+    number: int
+
 
+class Block(NamedTuple):
+    path: tuple[str, ...]
+    text: str
+    linked: int  # characters in links
+    elements: list[Element]
 
-def blocks(page: str) -> list[tuple[str, bool, str, int, list[tuple[str, int]]]]:
-    """(path, within an article or main, text, characters in links, elements) of each block with text, in page order.
 
-    elements: name and number of each element of the path. A block is the text between two boundaries of elements that aren't inline; its path leads from the root over
-    the elements that aren't inline. What is aside (menus, notices, scripts and the like) has no blocks, but for
-    elements that wrap the article.
+def _mark(name: str, rest: str, kind: str) -> str:
+    m = re.search(r"""\bclass\s*=\s*["']?([^\s"'>]+)""", rest) if rest else None
+    return f"{name}.{m[1] if m else ''}!{kind}"
+
+
+def blocks(page: str) -> list[Block]:
+    """Each block with text, in page order.
+
+    A block is the text between two boundaries of elements that aren't inline; its path leads from the root over the
+    elements that aren't inline. What has no shown text (scripts, controls, hidden elements) has no blocks.
     """
-    out: list[tuple[str, bool, str, int, list[tuple[str, int]]]] = []
-    stack: list[tuple[str, str, int]] = []  # name, mark of elements that aren't inline, and number
-    opened = 0
-    weak: dict[int, str] = {}  # elements that are aside unless they wrap the article
-    skip = 0  # depth of the stack at which what is aside began
+    out: list[Block] = []
+    stack: list[Element] = []
+    opened = beyond = 0  # elements so far; open ones that are too deep for the stack
+    open_names: Counter = Counter()
+    skip = 0  # depth of the stack at which what has no shown text began
     held: list[str] = []
     linked = 0
 
@@ -116,11 +142,15 @@ def blocks(page: str) -> list[tuple[str, bool, str, int, list[tuple[str, int]]]]
             text = "".join(held)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                names = [n for n, _, _ in stack]
-                out.append(("/".join(m for _, m, _ in stack if m), not CONTENT.isdisjoint(names), text, linked, [(n, k) for n, m, k in stack if m]))
+                elements = [e for e in stack if e.mark]
+                out.append(Block(tuple(e.mark for e in elements), text, linked, elements))
             held.clear()
         linked = 0
 
+    def close(depth: int) -> None:
+        open_names.subtract(e.name for e in stack[depth:])
+        del stack[depth:]
+
     at, find = 0, page.find
     while at < len(page):
         lt = find("<", at)
@@ -134,7 +164,7 @@ def blocks(page: str) -> list[tuple[str, bool, str, int, list[tuple[str, int]]]]
             continue
         if lt > at and not skip:
             held.append(page[at:lt])
-            if any(n == "a" for n, _, _ in stack[-3:]):
+            if open_names["a"] > 0:
                 linked += lt - at
         if m is None:
             break
@@ -146,28 +176,36 @@ def blocks(page: str) -> list[tuple[str, bool, str, int, list[tuple[str, int]]]]
         name, rest = m[2].lower(), m[3]
         inline = name in INLINE
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is None or inline and any(s[1] for s in stack[depth:]):
-                if name == "br":
-                    held.append(" ")
+            if name == "br" and not skip:
+                held.append(" ")
+            if beyond and open_names[name] > 0:
+                beyond -= 1
+                if not inline and not skip:
+                    flush()
+                continue
+            if open_names[name] <= 0:
+                continue
+            depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name)
+            if inline and any(e.mark for e in stack[depth:]):
                 continue
             if not inline and not skip:
                 flush()
-            del stack[depth:]
+            close(depth)
             if skip and len(stack) < skip:
                 skip = 0
             continue
         if name in _CLOSES:
             closed, fence = _CLOSES[name]
             low = skip if skip else 0
-            for i in range(len(stack) - 1, low - 1, -1):
-                if stack[i][0] in closed:
-                    if not skip:
-                        flush()
-                    del stack[i:]
-                    break
-                if stack[i][0] in fence:
-                    break
+            if any(open_names[c] > 0 for c in closed):
+                for i in range(len(stack) - 1, low - 1, -1):
+                    if stack[i].name in closed:
+                        if not skip:
+                            flush()
+                        close(i)
+                        break
+                    if stack[i].name in fence:
+                        break
         if inline:
             if name in ("br", "wbr", "img"):
                 if name != "wbr" and not skip:
@@ -178,55 +216,61 @@ def blocks(page: str) -> list[tuple[str, bool, str, int, list[tuple[str, int]]]]
         if name in VOID:
             continue
         kind = "" if skip else _aside(name, rest)
-        if kind == "firm" or kind and inline:
-            skip = len(stack) + 1
         if name in RAW:
             end = re.compile(rf"</{name}\s*[^>]*>", re.I).search(page, at)
-            if skip == len(stack) + 1:
-                skip = 0
             at = end.end() if end else len(page)
             continue
         if rest.endswith("/") and name in ("svg", "path", "rect", "use", "circle", "g"):
-            if skip == len(stack) + 1:
-                skip = 0
             continue
+        if len(stack) >= DEPTH:
+            beyond += 1
+            continue
+        if kind == "none" or kind and inline:
+            skip = len(stack) + 1
         opened += 1
-        if kind and not skip:
-            weak[opened] = kind
-        stack.append((name, "" if inline else _mark(name, rest), opened))
+        open_names[name] += 1
+        stack.append(Element(name, "" if inline else _mark(name, rest, kind), opened))
     if not skip:
         flush()
-    return _cut(out, weak) if weak else out
+    return out
 
 
-def _cut(found: list[tuple], weak: dict[int, str]) -> list[tuple]:
-    """Blocks outside of the weak elements that don't wrap the article.
+def path_weights(found: list[Block]) -> dict[tuple[str, ...], float]:
+    """A weight for each path: CONTENT_WEIGHT under an article or main, and that of the weakest aside element of the path
+    that doesn't wrap the article.
 
-    One that is aside by part of a name, or a form, wraps it if it holds all articles and mains of the page or over half of
-    its text; one by a whole name if it holds all articles and over half of the text, or over nine tenths of the text.
-    What is aside by a whole name within counts for neither. If nothing were left, nothing is cut.
+    Elements of a path's beginning wrap the article if they hold an article or main, and over half of the characters
+    outside of links unless their kind is "part"; a "part" also if it holds over half, and a "whole" if over nine tenths.
     """
-    total, free = 0, False
-    size, holds = dict.fromkeys(weak, 0), set()
-    for _, _, text, _, elements in found:
-        total += len(text)
-        above: list[int] = []
-        for name, k in elements:
-            if name in CONTENT:
-                free = free or not above
-                holds.update(above)
-            if k in weak:
-                if weak[k] == "whole":
-                    above = []
-                above.append(k)
-        for k in above:
-            size[k] += len(text)
-    wraps = set()
-    for k, kind in weak.items():
-        article, most = k in holds and not free, 2 * size[k] > total
-        if (article or most) if kind == "part" else (article and most or 10 * size[k] > 9 * total):
-            wraps.add(k)
-    return [b for b in found if all(k not in weak or k in wraps for _, k in b[4])] or found
+    size: Counter = Counter()
+    total, holds, alone = 0, set(), False
+    paths = Counter()
+    for b in found:
+        paths[b.path] += max(0, len(b.text) - b.linked)
+    for path, n in paths.items():
+        total += n
+        asides = [i for i, mark in enumerate(path) if not mark.endswith("!")]
+        content = [i for i, mark in enumerate(path) if mark.partition(".")[0] in CONTENT]
+        for i in asides:
+            size[path[: i + 1]] += n
+            if content and content[-1] > i:
+                holds.add(path[: i + 1])
+        alone = alone or bool(content) and not (asides and asides[0] < content[0])
+    out = {}
+    for path in paths:
+        weight = CONTENT_WEIGHT if any(mark.partition(".")[0] in CONTENT for mark in path) else 1.0
+        kinds = []
+        for i, mark in enumerate(path):
+            kind = mark.rpartition("!")[2]
+            if kind:
+                prefix = path[: i + 1]
+                article, n = prefix in holds and not alone, size[prefix]
+                most = 2 * n > total
+                wraps = article or most if kind == "part" else article and most or kind == "whole" and 10 * n > 9 * total
+                if not wraps:
+                    kinds.append(WEIGHTS[kind])
+        out[path] = min(kinds) if kinds else weight
+    return out
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -242,95 +286,120 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
-def _container(elements: list[tuple[str, int]]) -> int:
+def path_ratios(found: list[Block]) -> tuple[dict, dict, set]:
+    """For each path its fused ratio and its characters outside of links; and the paths that are mostly links.
+
+    Ratios of a path: characters outside of links, and punctuation marks, by the path's blocks. Each is smoothed
+    over the blocks in page order; the mean of the path's own and the smoothed one counts, so that a path of short
+    blocks amid prose keeps up. The two are fused by their geometric mean, marks plus one.
+    """
+    counts: dict[tuple[str, ...], list[int]] = {}
+    for b in found:
+        c = counts.setdefault(b.path, [0, 0, 0, 0])
+        c[0] += 1
+        c[1] += max(0, len(b.text) - b.linked)
+        c[2] += len(_PUNCTUATION.findall(b.text))
+        c[3] += b.linked
+    length = {p: c[1] / c[0] for p, c in counts.items()}
+    marks = {p: c[2] / c[0] for p, c in counts.items()}
+    near_length = _smooth([length[b.path] for b in found])
+    near_marks = _smooth([marks[b.path] for b in found])
+    fused: dict[tuple[str, ...], list[float]] = {}
+    for b, x, y in zip(found, near_length, near_marks):
+        fused.setdefault(b.path, []).append(math.sqrt((length[b.path] + x) / 2 * (1 + (marks[b.path] + y) / 2)))
+    return {p: sum(v) / len(v) for p, v in fused.items()}, {p: c[1] for p, c in counts.items()}, {p for p, c in counts.items() if c[3] > c[1]}
+
+
+def select(found: list[Block], weights: dict, share: float = SHARE) -> tuple[set, set]:
+    """Paths whose weighted ratio reaches `share` of the mean of weighted ratios over weighted characters; paths that
+    are mostly links don't. Also the latter paths."""
+    ratio, size, links = path_ratios(found)
+    total = sum(size[p] * w for p, w in weights.items())
+    mean = sum(ratio[p] * size[p] * w * w for p, w in weights.items()) / total if total else 0.0
+    return {p for p, w in weights.items() if w > 0 and p not in links and size[p] and ratio[p] * w >= share * mean}, links
+
+
+def _container(elements: list[Element]) -> int:
     """How many elements lead to the container of a block of these elements, itself included."""
     k = len(elements) - 1
-    while k > 0 and elements[k - 1][0] in NESTED:
+    while k > 0 and elements[k - 1].name in NESTED:
         k -= 1
     return k
 
 
-def _followers(found: list[tuple], chosen: list[bool], links: list[bool]) -> list[bool]:
-    """Blocks that follow chosen ones: those between two chosen blocks of one container (the same element, or one within
-    the body that holds two elements of the same path), and pieces, paragraphs and loose text beside one in its container.
-    Blocks of `links` don't follow."""
+def _main(found: list[Block], chosen: list[bool]) -> int:
+    """The number of the deepest element, html and body apart, with over nine tenths of the chosen characters; 0 if none."""
+    size: Counter = Counter()
+    order: dict[int, int] = {}
+    for b, c in zip(found, chosen):
+        if c:
+            for depth, e in enumerate(b.elements):
+                if e.name not in ("html", "body") and e.name not in NESTED and e.name != "p":
+                    size[e.number] += len(b.text)
+                    order[e.number] = depth
+    total = sum(len(b.text) for b, c in zip(found, chosen) if c)
+    return max((k for k, n in size.items() if 10 * n > 9 * total), key=order.__getitem__, default=0)
+
+
+def _followers(found: list[Block], chosen: list[bool], barred: list[bool], main: int) -> list[bool]:
+    """Blocks that follow chosen ones: those within the element `main`, which holds nearly all of these; those between two chosen
+    blocks of one container (the same element, or one within the body that holds two elements of the same path); and
+    pieces, paragraphs and loose text beside one in its container. Barred blocks don't follow."""
     at = [i for i, c in enumerate(chosen) if c]
     out = [False] * len(found)
     holders = set()
     for i in at:
-        elements = found[i][4]
-        holders.update(k for _, k in elements[-1:] + elements[max(0, _container(elements) - 1) : _container(elements)])
+        elements = found[i].elements
+        holders.update(e.number for e in elements[-1:] + elements[max(0, _container(elements) - 1) : _container(elements)])
     for i, j in zip(at, at[1:]):
-        a, b = found[i][4], found[j][4]
+        a, b = found[i].elements, found[j].elements
         shared = sum(x == y for x, y in zip(a, b))
-        same = shared and (shared == _container(a) or shared == _container(b)) or found[i][0] == found[j][0] and shared and a[shared - 1][0] not in ("html", "body")
-        if same:
+        if shared and (shared in (_container(a), _container(b)) or found[i].path == found[j].path and a[shared - 1].name not in ("html", "body")):
             for k in range(i + 1, j):
-                out[k] = not links[k]
-    for i, (*_, elements) in enumerate(found):
-        if links[i] or chosen[i] or out[i]:
+                out[k] = not barred[k]
+    for i, b in enumerate(found):
+        if barred[i] or chosen[i] or out[i]:
             continue
-        for depth, (name, number) in enumerate(elements):
-            if number in holders:
-                rest = [n for n, _ in elements[depth + 1 :]]
-                if not rest or rest == ["p"] or not PIECES.isdisjoint(rest[:1] if name in ("html", "body") else rest):
-                    out[i] = True
+        for depth, e in enumerate(b.elements):
+            rest = [x.name for x in b.elements[depth + 1 :]]
+            if e.number == main or e.number in holders and (not rest or rest == ["p"] or not PIECES.isdisjoint(rest[:1] if e.name in ("html", "body") else rest)):
+                out[i] = True
     return out
 
 
-def main_text(page: str | None, share: float = 0.1) -> str:
+_HEADING = re.compile(r"h[1-6]")
+
+
+def main_text(page: str | None, share: float = SHARE) -> str:
     """The article's blocks, one a line; empty for a null or empty page.
 
-    For each path: characters outside of links and punctuation marks, each divided by the path's blocks. Both
-    ratios are smoothed over the blocks in page order and fused by their geometric mean with the path's own, so
-    that a short block amid prose keeps up. Paths under an article or main element lead if there are any with
-    text; a page without them is judged by ratios alone. A path is selected if its mean fused ratio reaches `share`
-    of the mean over characters of the leading ones; headings that stand before or amid selected blocks stay. Under an
-    article or main only paths that are mostly links can fail; elsewhere blocks between and beside selected ones in
-    the same container follow them, unless their path is mostly links.
+    Paths are selected by their ratios (`select`). What stands in the container of selected blocks follows them unless
+    its path is mostly links or aside (a weight under one). A heading before or amid selected blocks stays if it is
+    not aside, or aside only by an element within the container (the article's own header).
     """
     found = blocks(page or "")
-    if any(b[1] for b in found):
-        found = [b for b in found if b[1]]
     if not found:
         return ""
-    counts: dict[str, list[float]] = {}
-    for path, _, text, linked, _ in found:
-        c = counts.setdefault(path, [0, 0, 0, 0])
-        c[0] += 1
-        c[1] += max(0, len(text) - linked)
-        c[2] += len(_PUNCTUATION.findall(text))
-        c[3] += linked
-    length = {p: c[1] / c[0] for p, c in counts.items()}
-    marks = {p: c[2] / c[0] for p, c in counts.items()}
-    near_length = _smooth([length[b[0]] for b in found])
-    near_marks = _smooth([marks[b[0]] for b in found])
-    fused: dict[str, list[float]] = {}
-    for (path, *_), a, b in zip(found, near_length, near_marks):
-        fused.setdefault(path, []).append(math.sqrt((length[path] + a) / 2 * (1 + (marks[path] + b) / 2)))
-    ratio = {p: sum(v) / len(v) for p, v in fused.items()}
-    size = sum(c[1] for c in counts.values())
-    mean = sum(ratio[p] * c[1] for p, c in counts.items()) / size if size else 0.0
-    inside = found[0][1]
-    chosen, links = set(), {p for p, c in counts.items() if c[3] > c[1]}
-    for p in counts:
-        enough = ratio[p] >= (share if inside else 0.5) * mean
-        if (enough or p not in links) if inside else (enough and p not in links):
-            chosen.add(p)
-    heading = re.compile(r"h[1-6]")
-    picked = [b[0] in chosen for b in found]
-    if not inside:
-        follow = _followers(found, picked, [b[0] in links for b in found])
-        picked = [a or b for a, b in zip(picked, follow)]
+    weights = path_weights(found)
+    chosen_paths, links = select(found, weights, share)
+    chosen = [b.path in chosen_paths for b in found]
+    barred = [b.path in links or weights[b.path] < 1 for b in found]
+    main = _main(found, chosen)
+    picked = [a or b for a, b in zip(chosen, _followers(found, chosen, barred, main))]
     last = max((i for i, x in enumerate(picked) if x), default=-1)
-    kept = [b[2] for i, b in enumerate(found) if picked[i] or i < last and heading.fullmatch(b[0].rpartition("/")[2].partition(".")[0])]
-    return "\n".join(kept)
+    for i, b in enumerate(found[: last + 1]):
+        if not picked[i] and b.elements and _HEADING.fullmatch(b.elements[-1].name):
+            inner = next((b.path[k + 1 :] for k, e in enumerate(b.elements) if e.number == main), None)
+            own = inner is not None and not any(m.rpartition("!")[2] and m.partition(".")[0] != "header" and "header" not in m for m in inner)
+            picked[i] = weights[b.path] >= 1 and b.path not in links or own
+    return "\n".join(b.text for b, p in zip(found, picked) if p)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id_col, url_col, text and n_chars (code points) of each row of df, from its whole page.
 
-    A null or empty page, or one without text, gives an empty text. Markup that isn't closed runs to the end of the page.
+    A null or empty page, or one without text, gives an empty text. Markup that isn't closed runs to the end of the page;
+    elements deeper than DEPTH count as text of the one at DEPTH; time is linear in the page.
     Repeated rows and null ids stay; other columns aren't read; an empty table gives an empty table. No shuffle.
     """
 

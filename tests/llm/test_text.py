@@ -372,3 +372,73 @@ def test_vocabularies_are_bounded(tmp_path, spark, monkeypatch):
     (tmp_path / "v").write_text(json.dumps({}) * 5)
     with pytest.raises(ValueError):
         vocabulary.load(spark, str(tmp_path / "v"))
+
+
+def brute_ratios(found):
+    """Tag-path ratios as html_extract.path_ratios documents them, block by block."""
+    out = {}
+    own = {}
+    for p in {b.path for b in found}:
+        mine = [b for b in found if b.path == p]
+        own[p] = (sum(len(b.text) - b.linked for b in mine) / len(mine), sum(len(re.findall("[.,;:!?]", b.text)) for b in mine) / len(mine))
+    weights = {-2: 0.06, -1: 0.24, 0: 0.4, 1: 0.24, 2: 0.06}
+    for p in own:
+        values = []
+        for i, b in enumerate(found):
+            if b.path == p:
+                near = [(w, own[found[i + k].path]) for k, w in weights.items() if 0 <= i + k < len(found)]
+                smooth = [sum(w * v[j] for w, v in near) / sum(w for w, _ in near) for j in (0, 1)]
+                values.append(((own[p][0] + smooth[0]) / 2 * (1 + (own[p][1] + smooth[1]) / 2)) ** 0.5)
+        out[p] = sum(values) / len(values)
+    return out
+
+
+def unnamed(page, names="article|main"):
+    """The page with elements of these names as div, and without classes."""
+    return re.sub(' class="[^"]*"', "", re.sub(rf"<(/?)({names})>", r"<\1div>", page))
+
+
+def test_html_ratios_against_brute_force_and_without_names(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    right = bare = 0
+    for page in pages:
+        found = html_extract.blocks(page)
+        ratio, _, _ = html_extract.path_ratios(found)
+        want = brute_ratios(found)
+        assert ratio.keys() == want.keys() and all(abs(ratio[p] - want[p]) < 1e-9 for p in want)
+        right += html_extract.main_text(unnamed(page)) == html_extract.main_text(page)
+        bare += html_extract.main_text(unnamed(page, "article|main|nav|footer")) == html_extract.main_text(page)
+    # The ratios alone, with and without the names of menus and footers.
+    assert right >= 0.93 * len(pages) and bare >= 0.85 * len(pages)
+
+
+@pytest.mark.parametrize("wrap", ["<div class='layout has-sidebar'>", "<div id='content' class='no-sidebar'>", "<div class='post-with-comments'>", "<div class='main-content ad-free'>", "<section class='related-work'>"])
+def test_html_wrappers_and_headers_of_an_article(wrap):
+    body = "<p>" + "Words of prose, in a line. " * 8 + "</p><p>More of it, in short.</p>"
+    for header in ("<div class='entry-header'><h1>Title</h1></div>", "<header><h1>Title</h1></header>"):
+        for name in ("article", "div"):
+            page = f"<body><header><h1>Site</h1></header><nav><a href=x>Home</a></nav>{wrap}<{name}>{header}{body}</{name}></body>"
+            got = html_extract.main_text(page).split("\n")
+            assert got[-2:] == ["Words of prose, in a line. " * 7 + "Words of prose, in a line.", "More of it, in short."] and "Site" not in got
+            assert name == "div" or got[0] == "Title"
+
+
+def test_html_time_is_linear():
+    import time
+
+    hard = ["<b>{0}</i>{0}x", "<div>{0}</p>{0}x", "<a>{0}<div>{0}</a>{0}x", "<table><tr><td><table><div>{0}<td></td>{0}y"]
+    for form in hard:
+        parts = form.split("{0}")
+        page = lambda n: "".join(p[: p.rfind("<")] + p[p.rfind("<") :] * n for p in parts[:-1]) + parts[-1]
+        began = time.process_time()
+        html_extract.main_text(page(20_000))
+        assert time.process_time() - began < 6
+
+
+def test_html_edges_of_tables(spark):
+    rows = [(1, "u", ARTICLE), (1, "u", ARTICLE), (None, None, None), (2, "v", ""), (3, "w", "<p>" + "word, " * 100_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS text", "1 AS n_chars", "'y' AS __text")
+    got = sorted(((r["page_id"], r["url"], r["n_chars"]) for r in html_extract.extract(df).collect()), key=repr)
+    n = len(html_extract.main_text(ARTICLE))
+    assert got == sorted([(1, "u", n), (1, "u", n), (None, None, 0), (2, "v", 0), (3, "w", 599_999)], key=repr)
+    assert html_extract.extract(df.limit(0)).count() == 0
