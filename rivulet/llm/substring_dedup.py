@@ -5,12 +5,14 @@ a document that have the same minimizer (the least hash of their inner 12-mers,
 words) form one path, a row with the minimizer, the number of windows and digests of its words. Then, in Spark:
 
 1. Minimizers of one document alone hold no repeated edge; their paths go.
-2. Paths with the same digest are one nonbranching path. Its source is its smallest document; everywhere else the
-   whole path is repeated. A second digest is compared with the source's before that counts.
+2. Paths with the same digest are one nonbranching path. Its source is its place in its smallest document; everywhere
+   else the whole path is repeated.
 3. A minimizer with different paths is a branch: there the paths of the sources, one for each digest, are split
    into single edges, which are joined edge by edge.
 
-Both give spans (document, start, end, source document). Copies and shared passages cost a row for about 20
+Both give spans (document, start, end) and their source coordinates (document, start). Spans that go on in document and
+source alike are one. Each is then verified: the words at the source coordinates, read from the source's text, are
+compared with the document's own, and only runs of a window or more that are equal count. Copies and shared passages cost a row for about 20
 words each, and only the ends of passages cost a row a window. All group steps have partial aggregates, and
 joins are of rows that Spark can split by key, so a passage that a third of all documents hold is no hot task.
 """
@@ -34,6 +36,9 @@ INNER = 12
 #: Windows that are handled at once; longer texts are cut, which splits paths but loses no window.
 _BLOCK = 1 << 19
 
+#: Words of a source that are handed out together for the comparison.
+GRID = 128
+
 #: Odd bases of the two digests.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -149,9 +154,13 @@ def _signed(values):
     return pa.array(values.astype(np.uint64).view(np.int64))
 
 
+def _fields(text: str) -> list[T.StructField]:
+    return list(T._parse_datatype_string(text).fields)
+
+
 def paths(df: DataFrame, window: int, inner: int) -> DataFrame:
     """Rows (doc_id, row, start, n, minimizer, digest, check) of df's columns doc_id and text."""
-    schema = "doc_id long, row long, start int, n int, minimizer long, digest long, check long"
+    schema = T.StructType([df.schema["doc_id"], *_fields("row long, start int, n int, minimizer long, digest long, check long")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -172,7 +181,7 @@ def paths(df: DataFrame, window: int, inner: int) -> DataFrame:
 
 def _edges(df: DataFrame, window: int) -> DataFrame:
     """Single windows (doc_id, row, start, edge, check) of the paths that df lists beside each text."""
-    schema = "doc_id long, row long, start int, edge long, check long"
+    schema = T.StructType([df.schema["doc_id"], *_fields("row long, start int, edge long, check long")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -185,52 +194,150 @@ def _edges(df: DataFrame, window: int) -> DataFrame:
                 if not len(start):
                     continue
                 edge, check = Digests(two, _BASES[1])(start, start + window), Digests(one, _BASES[0])(start, start + window)
-                columns = [pa.array([batch.column(0)[i].as_py()] * len(start), pa.int64()), pa.array([batch.column(1)[i].as_py()] * len(start), pa.int64()), pa.array(start.astype(np.int32)), _signed(edge), _signed(check)]
+                at = pa.array(np.full(len(start), i))
+                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(start.astype(np.int32)), _signed(edge), _signed(check)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "start", "edge", "check"])
 
     return df.mapInArrow(run, schema)
 
 
 def repeated_spans(df: DataFrame, scratch: shared.Scratch, window: int = WINDOW, inner: int = INNER) -> DataFrame:
-    """(doc_id, row, start, end, source): words start to end of a document's row are windows that `source`, a
-    document of smaller id, has too. df: doc_id (long) and text (string, not null). Spans may overlap."""
+    """(doc_id, row, start, end, source, source_row, source_start): words start to end of a document's row are windows that
+    `source`, a document of smaller id, has from word source_start on, by their digests. df: doc_id and text (string),
+    not null. Spans may overlap."""
     found = scratch.table(paths(df, window, inner))
     joint = found.groupBy("minimizer").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("digest").alias("d0"), F.max("digest").alias("d1"))
     # Aggregates are written before rows join them: Spark splits a hot key of a join of two plain shuffles only.
     joint = scratch.table(joint.where("lo < hi").select("minimizer", (F.col("d0") < F.col("d1")).alias("branches")))
     met = scratch.table(found.join(joint, "minimizer"))
-    sources = met.groupBy("minimizer", "digest").agg(F.min("doc_id").alias("source"), F.min("check").alias("c0"), F.max("check").alias("c1"))
-    sources = scratch.table(sources.select("minimizer", "digest", "source", (F.col("c0") == F.col("c1")).alias("same")))
+    place = F.min(F.struct("doc_id", "row", "start")).alias("at")
+    at = [F.col("at.doc_id").alias("source"), F.col("at.row").alias("source_row"), F.col("at.start").alias("source_start")]
+    sources = met.groupBy("minimizer", "digest").agg(place, F.min("check").alias("c0"), F.max("check").alias("c1"))
+    sources = scratch.table(sources.select("minimizer", "digest", *at, (F.col("c0") == F.col("c1")).alias("same")))
     judged = scratch.table(met.join(sources, ["minimizer", "digest"]))
-    whole = judged.where("doc_id > source and same").select("doc_id", "row", "start", (F.col("start") + F.col("n") + F.lit(window - 1)).alias("end"), "source")
+    coordinates = ["source", "source_row", "source_start"]
+    whole = judged.where("doc_id > source and same").select("doc_id", "row", "start", (F.col("start") + F.col("n") + F.lit(window - 1)).alias("end"), *coordinates)
     split = judged.where("not same or (branches and doc_id = source)")
     listed = scratch.table(split.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("paths")))
-    texts = df.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("row"), "text")
-    beside = texts.join(shared.sized(listed, 2_000), ["doc_id", "row"]).select("doc_id", "row", "text", "paths")
-    edges = scratch.table(_edges(beside, window))
-    heads = edges.groupBy("edge", "check").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
+    edges = scratch.table(_edges(_beside(df, listed, "paths"), window))
+    heads = edges.groupBy("edge", "check").agg(place, F.max("doc_id").alias("last")).where("at.doc_id < last").select("edge", "check", *at)
     heads = scratch.table(heads)
-    single = edges.join(heads, ["edge", "check"]).where("doc_id > source").select("doc_id", "row", "start", (F.col("start") + F.lit(window)).alias("end"), "source")
+    single = edges.join(heads, ["edge", "check"]).where("doc_id > source").select("doc_id", "row", "start", (F.col("start") + F.lit(window)).alias("end"), *coordinates)
     return scratch.table(whole).union(scratch.table(single))
 
 
-def _kept(text: str, spans: list | None) -> tuple[int, int, str, str]:
+def _beside(df: DataFrame, listed: DataFrame, column: str) -> DataFrame:
+    """(doc_id, row, text, column) of the rows of df that listed (doc_id, row, column) names."""
+    texts = df.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("row"), "text")
+    return texts.join(listed, ["doc_id", "row"]).select("doc_id", "row", "text", column)
+
+
+def _pieces(spans: DataFrame) -> DataFrame:
+    """(doc_id, row, span, start, n, source, source_row, block, offset): spans, those that go on alike in document and source
+    made one, cut at the source's grid. Words from start on, n of them, are at `offset` of the source's block."""
+    kinds = {f.name: f for f in spans.schema.fields}
+    schema = T.StructType([kinds["doc_id"], *_fields("row long, span int, start int, n int"), kinds["source"], *_fields("source_row long, block int, offset int")])
+    # Of as many spans as the document has paths and split windows at most.
+    listed = spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "end", "source", "source_row", "source_start")).alias("spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            lists = batch.column(2)
+            flat = lists.flatten()
+            start, end, row, source_start = (flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("start", "end", "source_row", "source_start"))
+            source = flat.field("source").dictionary_encode()
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            keys = np.stack([owner, source.indices.to_numpy().astype(np.int64), row, source_start - start])
+            order = np.lexsort([start, *keys[::-1]])
+            keys, start, end = keys[:, order], start[order], end[order]
+            new = np.ones(len(start), bool)
+            new[1:] = (keys[:, 1:] != keys[:, :-1]).any(axis=0)
+            group = np.cumsum(new) << 33
+            reach = np.maximum.accumulate(end + group) - group
+            new[1:] |= start[1:] > reach[:-1]
+            first = np.flatnonzero(new)
+            if not len(first):
+                continue
+            at, begin, stop = order[first], start[first], np.maximum.reduceat(end, first)
+            low = begin + keys[3][first]
+            count = (low + stop - begin - 1) // GRID - low // GRID + 1
+            span = np.repeat(np.arange(len(first)), count)
+            block = (low // GRID)[span] + np.arange(len(span)) - np.repeat(np.cumsum(count) - count, count)
+            left, right = np.maximum(low[span], block * GRID), np.minimum((low + stop - begin)[span], (block + 1) * GRID)
+            who, what = pa.array(owner[at][span]), pa.array(at[span])
+            ints = [pa.array(x.astype(np.int32)) for x in (span, begin[span] + left - low[span], right - left)]
+            columns = [batch.column(0).take(who), batch.column(1).take(who), *ints, flat.field("source").take(what), pa.array(row[at][span]), pa.array(block.astype(np.int32)), pa.array((left - block * GRID).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return listed.mapInArrow(run, schema)
+
+
+def _source_blocks(beside: DataFrame) -> DataFrame:
+    """(source, source_row, block, words): the listed blocks of each text, their words joined by one space."""
+    schema = T.StructType([T.StructField("source", beside.schema["doc_id"].dataType), *_fields("source_row long, block int, words string")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words, listed = batch.column(2)[i].as_py().encode().split(), batch.column(3)[i].as_py()
+                at = pa.array([i] * len(listed), pa.int64())
+                joined = [b" ".join(words[b * GRID : (b + 1) * GRID]).decode() for b in listed]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(listed, pa.int32()), pa.array(joined, pa.string())], names=schema.names)
+
+    return beside.mapInArrow(run, schema)
+
+
+def with_source_words(df: DataFrame, spans: DataFrame, scratch: shared.Scratch) -> DataFrame:
+    """(doc_id, row, pieces): what is needed to verify the spans of a document's row by their source coordinates: the words
+    that the source has there, in pieces."""
+    pieces = scratch.table(_pieces(spans))
+    asked = pieces.select("source", "source_row", "block").distinct()
+    asked = asked.groupBy(F.col("source").alias("doc_id"), F.col("source_row").alias("row")).agg(F.collect_list("block").alias("blocks"))
+    words = scratch.table(_source_blocks(_beside(df, scratch.table(asked), "blocks")))
+    answered = pieces.join(words, ["source", "source_row", "block"])
+    return answered.groupBy("doc_id", "row").agg(F.collect_list(F.struct("span", "start", "n", "offset", "words")).alias("pieces"))
+
+
+def _equal(words: list[bytes], piece: dict) -> Iterator[tuple[int, int]]:
+    """Where the document's words are those of the source, from and to."""
+    at, n, theirs = piece["start"], piece["n"], piece["words"].encode().split()[piece["offset"] :]
+    if words[at : at + n] == theirs[:n]:
+        yield at, at + n
+        return
+    for i, (a, b) in enumerate(zip(words[at : at + n], theirs)):
+        if a == b:
+            yield at + i, at + i + 1
+
+
+def _verified(words: list[bytes], pieces: list[dict], window: int):
+    """Which words are in runs of a window or more that are equal to the source's."""
+    import numpy as np
+
+    gone = np.zeros(len(words), bool)
+    span, begin, end = None, 0, 0
+    for piece in sorted(pieces, key=lambda p: (p["span"], p["start"])):
+        for a, b in _equal(words, piece):
+            if piece["span"] != span or a > end:
+                span, begin, end = piece["span"], a, b
+            end = max(end, b)
+            if end - begin >= window:
+                gone[begin:end] = True
+    return gone
+
+
+def _kept(text: str, pieces: list | None, window: int) -> tuple[int, int, str, str]:
     """Words, words removed, the kept words joined by one space, and the text without the removed words."""
     words = text.encode().split()
-    if not spans:
+    if not pieces:
         return len(words), 0, b" ".join(words).decode(), text
     import re
 
-    import numpy as np
-
-    change = np.zeros(len(words) + 1, np.int32)
-    for s in spans:
-        change[s["start"]] += 1
-        change[s["end"]] -= 1
-    keep = np.cumsum(change)[:-1] == 0
-    left = [w for w, k in zip(words, keep.tolist()) if k]
+    keep = (~_verified(words, pieces, window)).tolist()
+    left = [w for w, k in zip(words, keep) if k]
     raw, cut, at = text.encode(), [], 0
-    for m, k in zip(re.finditer(rb"[^ \t\n\x0b\x0c\r]+", raw), keep.tolist()):
+    for m, k in zip(re.finditer(rb"[^ \t\n\x0b\x0c\r]+", raw), keep):
         if k:
             cut.append(raw[at : m.end()] if at is not None else raw[m.start() : m.end()])
             at = m.end()
@@ -250,31 +357,32 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A word goes if a window that covers it, `window` consecutive words of its document, also starts in a document
     of smaller id. Windows are judged on the texts as given. Words are parted by ASCII white space and compared
-    as they are. A null text has no words; rows of null id neither lose words nor count as earlier; rows that share
-    an id don't count as earlier to each other. Texts shorter than a window lose nothing. An empty table gives an
-    empty table. Added columns replace columns of the same name.
+    as they are. Ids may be of any type with an order. A null text has no words; rows of null id neither lose words nor
+    count as earlier; rows that share an id don't count as earlier to each other. Texts shorter than a window lose
+    nothing. An empty table gives an empty table. Columns of df may have any names; the added ones replace columns of
+    the same name.
     """
     spark = df.sparkSession
-    texts = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_words", T.StringType()), T.StructField("kept_text", T.StringType())]
+    kept = [c for c in df.columns if c not in [f.name for f in added]]
+    plain = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col(f"`{id_col}`").alias("id"), shared.text_of(text_col).alias("text"))
+    texts = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null and text is not null")
     with shared.Scratch(spark) as scratch:
-        spans = repeated_spans(texts.where("doc_id is not null and text is not null"), scratch, window)
-        listed = scratch.keep(spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "end")).alias("__spans")))
-    listed = listed.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__spans")
-    added = ["n_words", "n_removed", "kept_words", "kept_text"]
-    df = df.drop(*added)
-    joined = df.join(listed, (F.col(f"`{id_col}`").cast("long") == F.col("__id")) & (F.crc32(F.col(f"`{text_col}`").cast("binary")) == F.col("__row")), "left")
-    joined = joined.withColumn("__text", shared.text_of(text_col)).drop("__id", "__row")
-    schema = T.StructType([*df.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_words", T.StringType()), T.StructField("kept_text", T.StringType())])
+        spans = scratch.table(repeated_spans(texts, scratch, window))
+        listed = scratch.keep(with_source_words(texts, spans, scratch))
+    joined = plain.join(listed, (F.col("id") == F.col("doc_id")) & (F.crc32(F.col("text").cast("binary")) == F.col("row")), "left").drop("id", "doc_id", "row")
+    joined = joined.select(*[f"c{i}" for i in range(len(kept))], "pieces", "text")
+    schema = T.StructType([*[T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(kept)], *added])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
-    width = len(df.columns)
+    width = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in shared.slices(batch, width + 1):
-                found = [_kept(t, s) for t, s in zip(part.column(width + 1).to_pylist(), part.column(width).to_pylist())]
+                found = [_kept(t, s, window) for t, s in zip(part.column(width + 1).to_pylist(), part.column(width).to_pylist())]
                 made = [pa.array([x[i] for x in found], arrow.field(width + i).type) for i in range(4)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], *made], schema=arrow)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).toDF(*kept, *[f.name for f in added])

@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import zlib
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -170,6 +172,35 @@ def test_substring_edges(spark):
     assert substring_dedup.substring_dedup(df.limit(0)).count() == 0
 
 
+def test_substring_names_and_ids(spark):
+    """Any names of columns, ids that are strings."""
+    base = prose(70)
+    rows_ = [("b", base), ("a", "Start " + base), (None, base), ("c", None), ("d", base), ("d", base)]
+    names = "__id __row __spans __text id text row pieces c0 span kept_words source".split()
+    df = spark.createDataFrame(rows_, "key string, body string").selectExpr("key", "body", *[f"'{n}' AS {n}" for n in names])
+    found = substring_dedup.substring_dedup(df, "key", "body")
+    assert found.columns == [c for c in df.columns if c != "kept_words"] + ["n_words", "n_removed", "kept_words", "kept_text"]
+    got = found.collect()
+    assert sorted(((r["key"], r["n_removed"]) for r in got), key=repr) == sorted([("a", 0), ("b", 70), (None, 0), ("c", 0), ("d", 70), ("d", 70)], key=repr)
+    assert all(r["__spans"] == "__spans" and r["pieces"] == "pieces" for r in got)
+
+
+def test_spans_are_verified_by_source_coordinates(spark):
+    """Digests that lie: spans whose source has other words there lose nothing but runs of a window that are equal."""
+    base = prose(200)
+    other = base.split()
+    other[100] = "changed"
+    docs = spark.createDataFrame([(1, base), (2, " ".join(other)), (3, prose(200))], "doc_id long, text string")
+    row = lambda t: zlib.crc32(t.encode())
+    data = {r["doc_id"]: r["text"] for r in docs.collect()}
+    claimed = [(2, row(data[2]), 0, 120, 1, row(base), 0), (2, row(data[2]), 110, 180, 1, row(base), 110), (3, row(data[3]), 5, 150, 1, row(base), 5)]
+    spans = spark.createDataFrame(claimed, "doc_id long, row long, start int, end int, source long, source_row long, source_start int")
+    with shared.Scratch(spark) as scratch:
+        found = {r["doc_id"]: r["pieces"] for r in substring_dedup.with_source_words(docs, spans, scratch).collect()}
+    gone = {i: substring_dedup._verified(data[i].encode().split(), found[i], 50) for i in found}
+    assert np.flatnonzero(gone[2]).tolist() == [*range(100), *range(101, 180)] and not gone[3].any()
+
+
 def containment_brute(docs, items):
     import re
 
