@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
-import os
 import struct
 import tempfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import shared
 
-#: An index of at most so many bytes is broadcast; larger rule lists go by `judge_by_join`.
+#: A part of the index has about so many bytes at most; a longer rule list has several, each a broadcast by itself.
 INDEX_BYTES = 256 << 20
 
 _OPEN: dict = {}
@@ -35,14 +32,30 @@ def parts(url: str | None) -> tuple[str, str]:
 _LOWER = {i: i + 32 for i in range(ord("A"), ord("Z") + 1)}
 
 
-def build_index(rules: list[tuple[str, str, str]]) -> bytes:
-    """The file of rules (verdict, host, path): counts, ascending xxhash64 keys of the rules' strings (host and path),
-    where each string begins, length of its host, its verdict, then the strings. Of equal rules the last holds."""
-    import numpy as np
+def build_index(rules: list[tuple[str, str, str]], limit: int = INDEX_BYTES) -> list[bytes]:
+    """The index of rules (verdict, host, path), in parts of ascending xxhash64 keys of the rules' strings (host and path).
+
+    A part has the number of its rules, their keys, where each string begins, length of its host, its verdict, then the
+    strings. Of equal rules the last holds.
+    """
     from xxhash import xxh64_intdigest
 
     last = {(host, path): verdict for verdict, host, path in rules}
     entries = sorted((xxh64_intdigest((h + "\x00" + p).encode()), h, p, v) for (h, p), v in last.items())
+    parts, held = [[]], 0
+    for e in entries:
+        size = 32 + len((e[1] + e[2]).encode())
+        if parts[-1] and held + size > limit:
+            parts.append([])
+            held = 0
+        parts[-1].append(e)
+        held += size
+    return [_part(p) for p in parts]
+
+
+def _part(entries: list[tuple[int, str, str, str]]) -> bytes:
+    import numpy as np
+
     strings = [(h + p).encode() for _, h, p, _ in entries]
     return b"".join(
         [
@@ -57,19 +70,15 @@ def build_index(rules: list[tuple[str, str, str]]) -> bytes:
 
 
 class Index:
-    """The arrays of build_index, memory-mapped."""
+    """The arrays of a part of build_index, memory-mapped from a file without a name, which is gone with its worker."""
 
     def __init__(self, data: bytes):
         import numpy as np
 
-        # Workers of a machine share the pages of one file in its own temporary folder, named by its content.
-        path = os.path.join(tempfile.gettempdir(), f"rivulet-urls-{hashlib.sha256(data).hexdigest()[:32]}")
-        if not os.path.exists(path) or os.path.getsize(path) != len(data):
-            handle, draft = tempfile.mkstemp(dir=tempfile.gettempdir())
-            with os.fdopen(handle, "wb") as f:
-                f.write(data)
-            os.replace(draft, path)
-        self.map = np.memmap(path, np.uint8, "r")
+        with tempfile.TemporaryFile() as f:
+            f.write(data)
+            f.flush()
+            self.map = np.memmap(f, np.uint8, "r")
         n = int(self.map[:8].view("<q")[0])
         column = lambda i, kind, size: self.map[8 + 8 * n * i + 8 * (i > 1) :][: 8 * size].view(kind)
         self.keys, self.begin, self.host, self.block = column(0, "<u8", n), column(1, "<i8", n + 1), column(2, "<i8", n), column(3, "<i8", n)
@@ -84,8 +93,9 @@ class Index:
     def entry(self, i: int) -> tuple[bytes, int]:
         return self.strings[self.begin[i] : self.begin[i + 1]].tobytes(), int(self.host[i])
 
-    def judge(self, split: list[tuple[str, str]]) -> list[tuple[str | None, str | None]]:
-        """Rule and verdict for each (host, path), None where none fits. All probes of the list are one binary search."""
+    def judge(self, split: list[tuple[str, str]]) -> list[tuple | None]:
+        """For each (host, path) length, length of the host, rule and verdict of the longest rule that fits; None where none
+        does. All probes of the list are one binary search."""
         import numpy as np
         from xxhash import xxh64_intdigest
 
@@ -111,9 +121,17 @@ class Index:
                     if self.keys[j] != keys[i]:
                         break
                     if self.entry(j) == (host + path, len(host)):
-                        rank = (len((host + path).decode()), len(host), j)
+                        rule = (host + path).decode()
+                        rank = (len(rule), len(host), rule, "block" if self.block[j] else "allow")
                         best[owner[i]] = max(best[owner[i]] or rank, rank)
-        return [(None, None) if b is None else (self.entry(b[2])[0].decode(), "block" if self.block[b[2]] else "allow") for b in best]
+        return best
+
+
+def judge(indexes: list[Index], split: list[tuple[str, str]]) -> list[tuple[str | None, str | None]]:
+    """Rule and verdict for each (host, path), None where no rule of any part fits."""
+    found = [index.judge(split) for index in indexes]
+    best = [max((f for f in each if f), default=(0, 0, None, None)) for each in zip(*found)]
+    return [(rule, verdict) for _, _, rule, verdict in best]
 
 
 def judge_urls(df: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -122,48 +140,19 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "
     rules: (verdict, host, path). A rule fits its host and all subdomains if the url's path starts with its path;
     the longest wins, of equal length the one with the longer host. Where none fits, rule is null and verdict
     `default`: a url that isn't in the array isn't listed. A url that is null or has no :// has an empty host
-    and path. Repeated rows and null ids stay; other columns aren't read; an empty table gives an empty table. The index
-    is broadcast if it has INDEX_BYTES at most, else rules are joined by digest. No shuffle in the first case.
+    and path. Repeated rows and null ids stay; other columns aren't read; an empty table gives an empty table. The rules
+    are a parameter, held by the driver; their index is broadcast in parts, whatever its size. No shuffle.
     """
-    spark = df.sparkSession
-    data = build_index(rules)
-    if len(data) > INDEX_BYTES:
-        return judge_by_join(df, rules_frame(spark, rules), id_col, url_col, default)
-    sent = spark.sparkContext.broadcast(data)
+    sent = [df.sparkSession.sparkContext.broadcast(part) for part in build_index(rules)]
 
     def make(urls: list[str | None]) -> list[pa.Array]:
-        at = sent._jbroadcast.id() if sent._jbroadcast is not None else sent._path
+        at = tuple(b._jbroadcast.id() if b._jbroadcast is not None else b._path for b in sent)
         if at not in _OPEN:
-            _OPEN[at] = Index(sent.value)
+            _OPEN.clear()
+            _OPEN[at] = [Index(b.value) for b in sent]
         split = [parts(u) for u in urls]
-        judged = _OPEN[at].judge(split)
+        judged = judge(_OPEN[at], split)
         return [pa.array([h for h, _ in split], pa.string()), pa.array([p for _, p in split], pa.string()), pa.array([r for r, _ in judged], pa.string()), pa.array([v or default for _, v in judged], pa.string())]
 
     fields = [T.StructField(n, T.StringType()) for n in ("host", "path", "rule", "verdict")]
     return shared.text_map(df, url_col, [id_col], fields, make)
-
-
-def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame([(v, h, p) for (h, p), v in {(h, p): v for v, h, p in rules}.items()], "verdict string, host string, path string")
-
-
-def judge_by_join(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
-    """As judge_urls, for rules (verdict, host, path; each host and path once) of any number: every suffix of the host
-    and every prefix of the path that has a rule's length is joined with the rules by digest and strings."""
-    sizes = [r[0] for r in rules.select(F.length("path").alias("n")).distinct().orderBy("n").collect()]  # lengths, not rules
-    url = F.col("__url")
-    after = F.when(F.locate("://", url) > 0, F.substring(url, F.locate("://", url) + 3, F.length(url))).otherwise("")
-    urls = df.select(F.col(f"`{id_col}`").alias("__id"), F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("__url"), F.monotonically_increasing_id().alias("__at"))
-    urls = urls.withColumn("__host", F.regexp_extract(after, r"(?s)^[^/?#]*", 0)).withColumn("path", F.regexp_extract(after, r"(?s)^[^/?#]*([^?#]*)", 1))
-    urls = urls.withColumn("host", F.translate("__host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).drop("__host", "__url")
-    with shared.Scratch(df.sparkSession) as scratch:
-        urls = scratch.keep(urls)
-    labels = F.split("host", r"\.", -1)
-    suffixes = urls.select("__at", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("h"))
-    prefixes = suffixes.select("__at", "h", F.explode(F.array(*[F.lit(n) for n in sizes]) if sizes else F.array().cast("array<int>")).alias("n"), "path").where("n <= length(path)")
-    probes = prefixes.select("__at", "h", F.expr("substring(path, 1, n)").alias("p")).where("h <> ''").withColumn("key", F.xxhash64("h", "p"))
-    keyed = rules.select(F.col("host").alias("h"), F.col("path").alias("p"), "verdict").withColumn("key", F.xxhash64("h", "p"))
-    hits = probes.join(keyed, ["key", "h", "p"])
-    best = hits.groupBy("__at").agg(F.max(F.struct(F.length(F.concat("h", "p")).alias("n"), F.length("h").alias("m"), F.concat("h", "p").alias("rule"), "verdict")).alias("best"))
-    out = urls.join(best, "__at", "left")
-    return out.select(F.col("__id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
