@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from .components import components
 #: Fingerprints that differ in so many bits at most are linked.
 BITS = 2
 
-#: A posting list of more fingerprints is searched by neighbours, which is exact and linear in the list.
+#: Pairs are tallied in posting lists of up to so many fingerprints; a longer list is split by further bytes.
 LONG_LIST = 16
 
 _BLOCK = 1 << 16
@@ -57,22 +58,37 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return shared.text_map(df, text_col, [id_col], [T.StructField("fp", T.LongType())], make)
 
 
-#: The eight byte positions in four pairs, and the two pairs that a posting list is keyed by.
-_LISTS = list(combinations(range(4), 2))
+def _mask(places: list[int], width: int) -> int:
+    return sum(((1 << width) - 1) << (width * p) for p in places)
 
 
-def _postings(fps: DataFrame) -> DataFrame:
-    """(list, fp): for each two of the four byte pairs, the list of fingerprints with the same four bytes there.
+def _levels() -> list[list[list[int]]]:
+    """Masks of the fingerprint bits that a posting list agrees in. levels[k][i]: those that list kind i of the level before
+    is split into; the first level has one kind.
 
-    Two differing bits touch two byte pairs at most, so two of the four agree: any linked fingerprints share a
-    list. A single byte's list would hold one in 256 of all fingerprints and pair counts would be quadratic.
+    Two differing bits touch two of four parts at most, so two of the four agree: of four byte pairs; then of the four
+    bytes that are left, so that six bytes agree; then of the four half bytes of the last two bytes. Linked
+    fingerprints thus share a list of each level. A list of the last one has 256 fingerprints at most.
     """
-
-    def key(number: int, pairs: tuple[int, int]) -> Column:
-        part = [F.shiftrightunsigned("fp", 16 * p).bitwiseAND(F.lit(0xFFFF)) for p in pairs]
-        return F.lit(number).cast("long") * F.lit(1 << 32) + part[0] * F.lit(1 << 16) + part[1]
-
-    return fps.select("fp", F.explode(F.array(*[key(i, p) for i, p in enumerate(_LISTS)])).alias("list"))
+    halves = list(combinations(range(4), 2))
+    first = [_mask([2 * p + q for p in pair for q in (0, 1)], 8) for pair in halves]
+    second, third = [], []
+    for mask in first:
+        free = [p for p in range(8) if not mask >> (8 * p) & 1]
+        split = [mask | _mask([free[i] for i in pair], 8) for pair in halves]
+        second.append(split)
+        for inner in split:
+            nibbles = [p for p in range(16) if not inner >> (4 * p) & 1]
+            third.append([inner | _mask([nibbles[i] for i in pair], 4) for pair in halves])
+    return [[first], second, third]
+
+
+def _postings(fps: DataFrame, kinds: list[list[int]]) -> DataFrame:
+    """(kind, key, fp): the posting lists of each fingerprint, one for each mask that its former kind is split into."""
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
+    lists = [F.array(*[F.struct(F.lit(i * len(masks) + j).alias("kind"), F.col("fp").bitwiseAND(signed(m)).alias("key")) for j, m in enumerate(masks)]) for i, masks in enumerate(kinds)]
+    chosen = lists[0] if len(lists) == 1 else F.get(F.array(*lists), F.col("kind"))
+    return fps.select("fp", F.explode(chosen).alias("list")).select("list.kind", "list.key", "fp")
 
 
 def _shared_bytes(difference: Column) -> Column:
@@ -82,34 +98,30 @@ def _shared_bytes(difference: Column) -> Column:
 
 
 def links(fps: DataFrame, scratch: shared.Scratch) -> DataFrame:
-    """Edges (a, b) of distinct fingerprints, each of two linked ones; they connect all that linked ones connect.
+    """Pairs (a, b) of all distinct fingerprints that are linked.
 
-    Lists of up to LONG_LIST fingerprints: each pair's shared positional bytes are tallied; pairs with at least
-    8 - BITS, the fewest that linked ones have, are kept and their differing bits verified. Longer lists: two
-    fingerprints of a list are linked if and only if they both are, or differ by one bit from, a third value;
-    each emits its 33 such values with the list's bytes, and those of a value, 33 at most, are linked to the least.
-    Rows are linear in the fingerprints, whatever the lists hold; no pair is lost.
+    Fingerprints are posted by their bytes at given positions (_levels). In lists of up to LONG_LIST each pair's shared
+    positional bytes are tallied; pairs with at least 8 - BITS, the fewest that linked ones have, are kept and
+    their differing bits verified. A longer list is split by further bytes, at last by half bytes, into lists that again
+    hold each linked pair. A fingerprint is in 216 lists of 256 at most, so rows are linear in the fingerprints.
     """
-    postings = _postings(fps)
-    sizes = postings.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
-    met = scratch.table(postings.join(sizes, "list"))
-    short = met.where(F.col("n") <= LONG_LIST).groupBy("list").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-    pairs = short.select("fps", F.posexplode("fps").alias("i", "a")).select("a", F.explode(F.expr("slice(fps, i + 2, size(fps))")).alias("b"))
-    difference = F.col("a").bitwiseXOR(F.col("b"))
-    tallied = pairs.where(_shared_bytes(difference) >= 8 - BITS)
-    verified = tallied.where(F.bit_count(difference) <= BITS).select("a", "b")
-
-    def values(pairs: tuple[int, int]) -> Column:
-        free = [16 * p + i for p in range(4) if p not in pairs for i in range(16)]
-        return F.array(F.lit(0).cast("long"), *[F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long") for b in free])
-
-    number = F.shiftright("list", 32)
-    flips = F.array(*[values(p) for p in _LISTS])
-    near = met.where(F.col("n") > LONG_LIST).select("list", "fp", F.explode(F.get(flips, number.cast("int"))).alias("flip"))
-    near = near.select("list", F.col("fp").bitwiseXOR(F.col("flip")).alias("value"), "fp")
-    stars = near.groupBy("list", "value").agg(F.min("fp").alias("b"), F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    stars = stars.select("b", F.explode("fps").alias("a")).where("a <> b").select("a", "b")
-    return verified.union(stars).distinct()
+    found = []
+    rows, levels = fps, _levels()
+    for at, kinds in enumerate(levels):
+        postings = _postings(rows, kinds)
+        sizes = postings.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1")
+        met = scratch.table(postings.join(sizes, ["kind", "key"]))
+        last = at == len(levels) - 1
+        short = met if last else met.where(F.col("n") <= LONG_LIST)
+        lists = short.groupBy("kind", "key").agg(F.sort_array(F.collect_set("fp")).alias("fps"))
+        pairs = lists.select("fps", F.posexplode("fps").alias("i", "a")).select("a", F.explode(F.expr("slice(fps, i + 2, size(fps))")).alias("b"))
+        difference = F.col("a").bitwiseXOR(F.col("b"))
+        tallied = pairs.where(_shared_bytes(difference) >= 8 - BITS)
+        found.append(tallied.where(F.bit_count(difference) <= BITS).select("a", "b"))
+        rows = met.where(F.col("n") > LONG_LIST).select("kind", "fp")
+        if last or shared.small(rows, 0):
+            break
+    return reduce(DataFrame.union, found).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
