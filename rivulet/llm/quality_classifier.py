@@ -18,6 +18,10 @@ BUCKETS = 1 << 18
 #: Labelled documents that are learned from at most: those of the least hash of their id.
 SAMPLE = 8_000
 
+#: Entries (bucket and count, 8 bytes) of the examples that the one learning task holds at most: examples are taken in
+#: the order of the hash until the next would exceed it.
+SAMPLE_ENTRIES = 24_000_000
+
 #: Score from which a document counts as good.
 THRESHOLD = 0.3
 
@@ -78,18 +82,23 @@ class Ftrl:
         return w.astype(np.float32)
 
 
-def fit(examples: list[tuple[float, object]]):
-    """Weights, from (label, features) in their order, EPOCHS times."""
+def counted(text: str | None):
+    """Distinct buckets of a text, ascending, and their counts."""
+    import numpy as np
+
+    buckets, counts = np.unique(features(text), return_counts=True)
+    return buckets.astype(np.int32), counts.astype(np.int32)
+
+
+def fit(examples: list[tuple[float, object, object]]):
+    """Weights, from (label, buckets, counts) in their order, EPOCHS times."""
     import numpy as np
 
-    model, vectors = Ftrl(), []
-    for label, at in examples:
-        buckets, counts = np.unique(np.asarray(at, np.int64), return_counts=True)
-        value = np.append(counts / np.sqrt(max(1, len(at))), 1.0).astype(np.float32)
-        vectors.append((np.append(buckets, BUCKETS), value, label))
+    model = Ftrl()
     for _ in range(EPOCHS):
-        for buckets, value, label in vectors:
-            model.step(buckets, value, label)
+        for label, buckets, counts in examples:
+            value = np.append(counts / np.sqrt(max(1, counts.sum())), 1.0).astype(np.float32)
+            model.step(np.append(buckets, BUCKETS), value, label)
     return model.final()
 
 
@@ -108,34 +117,43 @@ def _remainder(column: str):
     return F.crc32(F.col(f"`{column}`").cast("string").cast("binary")) % 5
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE):
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, entries: int = SAMPLE_ENTRIES):
     """Weights learned from the labelled rows of df whose crc32(id as text) mod 5 isn't 0.
 
-    At most `sample` labelled ids are learned from, those of the least hash: a bound on the one task that learns. Of an id with several labels the least counts; ids or
-    labels that are null, or not 0 or 1, don't. Without examples all weights are 0 and all scores 0.5.
+    At most `sample` labelled ids are learned from, those of the least hash, and of these in that order as many as have
+    `entries` distinct features together: bounds on the rows and the memory of the one task that learns. Of an id
+    with several labels the least counts, of one with several texts the least; ids or labels that are null, or not 0
+    or 1, don't. Texts are read whole, however long. Without examples all weights are 0 and all scores 0.5.
     """
     import numpy as np
 
     usable = labels.where(F.col(label_col).isin(0, 1)).where(_remainder(id_col) != 0)
     chosen = usable.groupBy(id_col).agg(F.min(label_col).cast("double").alias("__label"))
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(F.col(id_col).alias("__id"), "__label")
-    texts = df.select(F.col(f"`{id_col}`").alias("__doc"), F.col(f"`{text_col}`").alias("__t"))
-    texts = texts.join(shared.sized(chosen), F.col("__doc") == F.col("__id")).select("__id", "__label", "__t")
+    texts = df.select(F.col(f"`{id_col}`").alias("__doc"), shared.text_of(text_col).alias("__t"))
+    texts = texts.join(shared.sized(chosen), F.col("__doc") == F.col("__id")).groupBy("__id", "__label").agg(F.min("__t").alias("__t"))
 
     def make(found: list[str | None]) -> list[pa.Array]:
-        return [pa.array([features(t) for t in found], pa.list_(pa.int32()))]
+        vectors = [counted(t) for t in found]
+        return [pa.array([v[i] for v in vectors], pa.list_(pa.int32())) for i in (0, 1)]
 
-    vectors = shared.text_map(texts, "__t", ["__id", "__label"], [T.StructField("features", T.ArrayType(T.IntegerType()))], make)
+    fields = [T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("buckets", "counts")]
+    vectors = shared.text_map(texts, "__t", ["__id", "__label"], fields, make)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = []
+        examples, held, full = [], 0, False
         for batch in batches:
-            values, ends = batch.column(2).values.to_numpy(), batch.column(2).offsets.to_numpy()
-            examples += [(y, values[a:b].copy()) for y, a, b in zip(batch.column(1).to_pylist(), ends[:-1], ends[1:])]
+            ends = batch.column(2).offsets.to_numpy()
+            buckets, counts = (batch.column(i).values.to_numpy() for i in (2, 3))
+            for y, a, b in zip(batch.column(1).to_pylist(), ends[:-1], ends[1:]):
+                held += b - a
+                full = full or held > entries and bool(examples)
+                if not full:
+                    examples.append((y, buckets[a:b].copy(), counts[a:b].copy()))
         yield pa.RecordBatch.from_arrays([pa.array([fit(examples).tobytes()], pa.binary())], names=["weights"])
 
     # The sample is bounded, so one task learns from it, in the order of the hash.
-    ordered = vectors.repartition(1).sortWithinPartitions(F.xxhash64("__id"), "__id", F.xxhash64("features"))
+    ordered = vectors.repartition(1).sortWithinPartitions(F.xxhash64("__id"), "__id")
     rows = ordered.mapInArrow(learn, "weights binary").collect()
     return np.frombuffer(bytes(rows[0][0]), np.float32) if rows else np.zeros(BUCKETS + 1, np.float32)
 

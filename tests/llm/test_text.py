@@ -231,15 +231,18 @@ def brute(url, rules):
     return (max(fits)[2], max(fits)[3]) if fits else (None, "allow")
 
 
-def test_urls_against_brute_force(spark):
+def test_urls_against_brute_force(spark, monkeypatch):
     rules = [*queries.URL_RULES, ("block", "a.b", ""), ("allow", "b", "/x"), ("block", "a.b", "/x/y")]
     random.seed(2)
     urls = ["".join(random.choices(["http://", "a.b", "b", ".", "net", "example.net", "example.com", "org", "/en/", "/de/", "/fr/", "/x", "/y", "?q", "#", "A"], k=random.randint(1, 7))) for _ in range(800)]
     df = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, None, ""])], "page_id long, url string").selectExpr("*", "'x' AS rule", "'y' AS host")
     want = {i: brute(u, rules) for i, u in enumerate([*urls, None, ""])}
     assert {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(df, rules).collect()} == want
-    joined = url_filter.judge_by_join(df, url_filter.rules_frame(spark, rules))
-    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in joined.collect()} == want
+    build = url_filter.build_index
+    monkeypatch.setattr(url_filter, "build_index", lambda rules: build(rules, 90))  # parts of two or three rules
+    assert len(url_filter.build_index(rules)) > 2
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(df.union(df), rules).collect()} == want
+    assert url_filter.judge_urls(df.union(df), rules).count() == 2 * len(want) and url_filter.judge_urls(df.limit(0), rules).count() == 0
     assert {r["verdict"] for r in url_filter.judge_urls(df, []).collect()} == {"allow"}
 
 
@@ -247,8 +250,8 @@ def test_url_index_tells_colliding_keys_apart(monkeypatch):
     import xxhash
 
     monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda b: 7)
-    index = url_filter.Index(url_filter.build_index([("block", "net", "/"), ("allow", "org", "/x"), ("block", "net", "/x")]))
-    assert index.judge([("a.net", "/xy"), ("org", "/x"), ("com", "/x")]) == [("net/x", "block"), ("org/x", "allow"), (None, None)]
+    parts = url_filter.build_index([("block", "net", "/"), ("allow", "org", "/x"), ("block", "net", "/x")])
+    assert url_filter.judge([url_filter.Index(p) for p in parts], [("a.net", "/xy"), ("org", "/x"), ("com", "/x")]) == [("net/x", "block"), ("org/x", "allow"), (None, None)]
 
 
 def statistics(t):
@@ -365,6 +368,48 @@ def test_ftrl_step_is_the_formula():
     assert model.final()[5] == pytest.approx(w, rel=1e-5)
 
 
+def test_ftrl_against_brute_force():
+    """Weights of a few texts by the published per-coordinate updates, number by number."""
+    import math
+
+    q = quality_classifier
+    texts = [(1.0, "a good text of words"), (0.0, "bad bad bad % % words"), (1.0, "words of a text, again a text"), (0.0, ""), (0.0, "% % %")]
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if i != q.BUCKETS and abs(z[i]) <= q.L1:
+            return 0.0
+        shrunk = z[i] if i == q.BUCKETS else z[i] - math.copysign(q.L1, z[i])
+        return -shrunk / ((q.BETA + math.sqrt(n[i])) / q.ALPHA + (0 if i == q.BUCKETS else q.L2))
+
+    for _ in range(q.EPOCHS):
+        for label, text in texts:
+            at = Counter(q.features(text).tolist())
+            x = {i: c / math.sqrt(max(1, sum(at.values()))) for i, c in at.items()} | {q.BUCKETS: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x)))
+            for i, v in x.items():
+                g = (p - label) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / q.ALPHA * w[i]
+                n[i] += g * g
+    want = np.zeros(q.BUCKETS + 1)
+    for i in z:
+        want[i] = weight(i)
+    got = q.fit([(label, *q.counted(text)) for label, text in texts])
+    assert np.abs(got - want).max() < 1e-4 and np.count_nonzero(got) > 5
+
+
+def test_classifier_learns_from_bounded_rows(spark):
+    """Repeated rows of an id are one example, and examples end where their entries would exceed the bound."""
+    docs = spark.createDataFrame([(i, t) for i in range(40) for t in [f"w{i} a b c", "x " * 5000, f"w{i} a b c"] * 3], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once = docs.groupBy("doc_id").agg({"text": "min"}).toDF("doc_id", "text")
+    whole = quality_classifier.train(docs, labels)
+    assert whole.any() and (whole == quality_classifier.train(once, labels)).all()
+    few = quality_classifier.train(docs, labels, entries=30)
+    assert 0 < np.count_nonzero(few) < np.count_nonzero(whole)
+
+
 def test_vocabularies_are_bounded(tmp_path, spark, monkeypatch):
     from rivulet.llm import vocabulary
 
