@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A dimension is broadcast on request only if it has at most so many rows; larger ones shuffle.
+#: A dimension is broadcast on request only if it has at most so many rows and bytes; larger ones shuffle.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
+
+#: Rows of a key, both sides together, from which an as-of join splits it by slices of time.
+HOT_ROWS = 1_000_000
 
 #: The row kind of a deleted version.
 DELETE = "-D"
@@ -33,21 +37,29 @@ def _on(on: dict[str, str], left: DataFrame, right: DataFrame) -> Column:
     return out
 
 
+def small(df: DataFrame) -> bool:
+    """True if df has BROADCAST_ROWS and BROADCAST_BYTES (of its rows as text) at most; it reads no further rows."""
+    some = df.limit(BROADCAST_ROWS + 1)
+    rows, size = some.select(F.octet_length(F.to_json(F.struct(*some.columns))).alias("n")).agg(F.count("*"), F.sum("n")).first()
+    return rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+
+
 def lookup_join(left: DataFrame, dimension: DataFrame, on: dict[str, str], how: str = "inner", strategy: str = "auto", partitions: int | None = None) -> DataFrame:
     """Joins each row of `left`, batch or stream, with the dimension's rows of its key as they are when it is processed.
 
     on: column of left to column of the dimension. how: inner, or left (null where nothing is found). Several matches
     give several rows. On a stream the dimension is read anew for each micro-batch. strategy: auto (Spark chooses by
-    size), broadcast (if the dimension has BROADCAST_ROWS at most, else auto; for a dimension on a stream's other side
-    the check is made when the query starts), or keyby (the input is partitioned by key first, so that a key's rows, and
-    what a task keeps for it, are in one place).
+    size), broadcast (if the dimension has BROADCAST_ROWS and BROADCAST_BYTES at most, else auto; for a dimension on a
+    stream's other side the check is made when the query starts), or keyby (both sides are partitioned by key and
+    merged, never broadcast; Spark splits a key that holds much of the input). partitions: of the input, for keyby.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"a lookup join is inner or left, not {how}")
     if strategy == "keyby":
-        left = left.repartition(partitions, *on) if partitions else left.repartition(*on)
+        left = left.repartition(partitions, *on) if partitions else left
+        dimension = dimension.hint("merge")
     elif strategy == "broadcast":
-        if dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        if small(dimension):
             dimension = F.broadcast(dimension)
     elif strategy != "auto":
         raise ValueError(f"unknown strategy {strategy}")
@@ -60,22 +72,22 @@ def retried_lookup(left: DataFrame, versions: DataFrame, on: dict[str, str], arr
     versions: the dimension with the time from which each row is there (`available`). A row of left that arrives at
     `arrival` is looked up then and, while it finds nothing, at most policy.count times more, policy.delay_seconds apart.
     The first attempt that finds rows emits them all; without one, left gives nulls and inner nothing. Adds `attempt`
-    (0: at once; null: never found).
+    (0: at once; null: never found). Columns of versions that left has too are renamed right_<name>.
+
+    What decides is the time from which a key has any row, so a row's first successful attempt comes from an aggregate
+    by key; the rows there at that attempt are then joined once, by key and time.
     """
-    keyed = left.withColumn("__id", F.monotonically_increasing_id())
-    wait = F.unix_micros(versions[available].cast("timestamp")) - F.unix_micros(keyed[arrival].cast("timestamp"))
-    step = F.lit(int(policy.delay_seconds * 1_000_000))
-    attempt = F.greatest(F.lit(0), F.ceil(wait / step)).cast("int")
-    matched = keyed.join(versions, _on(on, keyed, versions)).withColumn("__attempt", attempt).where(F.col("__attempt") <= policy.count)
-    first = Window.partitionBy("__id")
-    # Rows there at the first attempt that finds any: those whose attempt is that or earlier.
-    found = matched.withColumn("attempt", F.min("__attempt").over(first)).where(F.col("__attempt") == F.col("attempt")).drop("__attempt")
-    if how == "inner":
-        return found.drop("__id")
-    missed = keyed.join(found.select("__id").distinct(), "__id", "left_anti")
-    for f in versions.schema.fields:
-        missed = missed.withColumn(f.name, F.lit(None).cast(f.dataType)) if f.name not in left.columns else missed
-    return found.drop("__id").unionByName(missed.withColumn("attempt", F.lit(None).cast("int")).drop("__id"), allowMissingColumns=True)
+    names = {c: c if c not in left.columns else f"right_{c}" for c in versions.columns}
+    right = versions.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], *[F.col(f"`{b}`").alias(f"__k{i}") for i, b in enumerate(on.values())], F.unix_micros(F.col(f"`{available}`").cast("timestamp")).alias("__available"))
+    keys = [f"__k{i}" for i in range(len(on))]
+    first = right.groupBy(*keys).agg(F.min("__available").alias("__first")).withColumnsRenamed({k: f"{k}f" for k in keys})
+    arrived, step = F.unix_micros(F.col(f"`{arrival}`").cast("timestamp")), F.lit(int(policy.delay_seconds * 1_000_000))
+    met = left.join(first, _on({a: f"__k{i}f" for i, a in enumerate(on)}, left, first), "left")
+    attempt = F.greatest(F.lit(0), F.ceil((F.col("__first") - arrived) / step)).cast("int")
+    tried = met.withColumn("attempt", F.when(F.col("__first").isNotNull() & (attempt <= policy.count), attempt)).withColumn("__until", arrived + F.col("attempt") * step)
+    there = _on({a: f"__k{i}" for i, a in enumerate(on)}, tried, right) & (right["__available"] <= tried["__until"])
+    out = tried.join(right, there, how)
+    return out.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col(f"`{n}`") for n in names.values()], "attempt")
 
 
 def as_of_join(
@@ -88,7 +100,7 @@ def as_of_join(
     op: str | None = None,
     order: list[str] | None = None,
     condition: Column | None = None,
-    bucket: float | None = None,
+    bucket: float | str | None = "auto",
 ) -> DataFrame:
     """Joins each row of left with the latest version of its key: the right row of largest time <= left's.
 
@@ -98,7 +110,9 @@ def as_of_join(
     Columns of right are taken as they are, nulls included; those that left has too are renamed right_<name>.
     One shuffle by key and one sort, linear in both sides: versions and rows are merged, and the last version seen is
     carried along. bucket: for keys that hold much of the rows, the length (seconds, or units of a number) of the slices
-    of time that a key is split into; each slice starts with the version that the ones before it end with.
+    of time that a key is split into; each slice starts with the version that the ones before it end with. "auto": none
+    while each key has HOT_ROWS at most, by a count of both sides, else so short that the largest key has about so many
+    in a slice if its rows are spread evenly.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"an as-of join is inner or left, not {how}")
@@ -125,6 +139,8 @@ def as_of_join(
     )
     keys = [f"__k{i}" for i in range(len(on))]
     parts, merged = keys, versions.unionByName(rows)
+    if bucket == "auto":
+        bucket = _bucket(versions, rows, keys, left.schema[left_time].dataType)
     if bucket is not None:
         slot = _slot(F.col("__t"), left.schema[left_time].dataType, bucket)
         versions, rows = versions.withColumn("__b", slot), rows.withColumn("__b", slot)
@@ -148,6 +164,15 @@ def as_of_join(
     return (out.where("__met") if how == "inner" else out).drop("__met")
 
 
+def _bucket(versions: DataFrame, rows: DataFrame, keys: list[str], kind: T.DataType) -> float | None:
+    """The length of slices that the largest key needs; None if it needs none."""
+    both = versions.select(*keys, "__t").unionByName(rows.select(*keys, "__t"))
+    t = F.col("__t").cast("double") if isinstance(kind, T.NumericType) else F.unix_micros(F.col("__t").cast("timestamp")) / 1e6
+    by_key = both.groupBy(*keys).agg(F.count("*").alias("n"), (F.max(t) - F.min(t)).alias("span"))
+    n, span = by_key.agg(F.max("n"), F.max_by("span", "n")).first()
+    return span / -(-n // HOT_ROWS) if n and n > HOT_ROWS and span else None
+
+
 def _slot(t: Column, kind: T.DataType, bucket: float) -> Column:
     if isinstance(kind, T.NumericType):
         return F.floor(t / F.lit(bucket))

@@ -120,7 +120,8 @@ class Catalog:
         for column, expression in spec.computed.items():
             df = df.withColumn(column, F.expr(re.sub(r"(?i)\bproctime\s*\(\s*\)", "current_timestamp()", expression)))
         if spec.watermark and df.isStreaming:
-            df = df.withWatermark(*spec.watermark)
+            # Spark's watermarks are on timestamps with a zone: the session's, which is UTC.
+            df = df.withColumn(spec.watermark[0], F.col(f"`{spec.watermark[0]}`").cast("timestamp")).withWatermark(*spec.watermark)
         return df
 
     def from_stream(self, name: str, df: DataFrame, columns: list[str] | None = None, watermark: tuple[str, str] | None = None, primary_key: tuple[str, ...] = (), proctime: str | None = None) -> DataFrame:
@@ -140,6 +141,6 @@ class Catalog:
             raise ValueError(f"sink {name} isn't declared")
         if spec.connector not in self.writers:
             raise ValueError(f"connector {spec.connector} of {name} can't be written; sinks are {', '.join(sorted(self.writers))}")
-        extra = [c for c in ("_op",) if c in df.columns and c not in spec.columns]
-        body = align(df.drop(*extra), spec.schema) if not extra else align(df, T.StructType([*[df.schema[c] for c in df.columns if c in extra], *spec.schema.fields]))
+        extra = [c for c in ("_op", "_seq") if c in df.columns and c not in spec.columns]
+        body = align(df.drop(*extra), spec.schema) if not extra else align(df.select(*extra, *[c for c in df.columns if c not in extra]), T.StructType([*[df.schema[c] for c in extra], *spec.schema.fields]))
         self.writers[spec.connector](body, spec)

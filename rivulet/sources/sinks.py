@@ -24,8 +24,11 @@ def jdbc(df: DataFrame, spec) -> None:
 
 
 def console(df: DataFrame, spec) -> None:
-    """Prints the rows: a sink for the eye, bounded by print.rows."""
-    df.show(int(spec.options.get("print.rows", "1000")), truncate=False)
+    """Prints the rows: a sink for the eye. It says so if there are more than print.rows."""
+    n = int(spec.options.get("print.rows", "1000"))
+    df.show(n, truncate=False)
+    if df.limit(n + 1).count() > n:
+        print(f"only the first {n} rows are printed (print.rows)")
 
 
 def blackhole(df: DataFrame, spec) -> None:
@@ -38,13 +41,22 @@ _VERSION = "__version"
 
 def upsert(df: DataFrame, spec) -> None:
     """A table keyed by the primary key, as versions in Parquet: each insert appends a batch, `read_upsert` gives the last
-    row of each key. A row of kind -D is a tombstone; -U isn't written."""
+    row of each key. A row of kind -D is a tombstone; -U isn't written.
+
+    Of several rows of a key in one insert the last by column _seq, which isn't kept, counts; without it they are refused.
+    """
     if not spec.primary_key:
         raise ValueError(f"an upsert sink needs a primary key; {spec.name} has none")
     rows = df if "_op" in df.columns else df.withColumn("_op", F.lit("+U"))
+    rows, key = rows.where("_op <> '-U'"), list(spec.primary_key)
+    if "_seq" in rows.columns:
+        others = [c for c in rows.columns if c not in (*key, "_seq")]
+        rows = rows.groupBy(*key).agg(F.max_by(F.struct(*others), "_seq").alias("__row")).select(*key, "__row.*")
+    elif not rows.groupBy(*key).count().where("count > 1").isEmpty():
+        raise ValueError(f"an insert into {spec.name} has several rows of a key; give their order in a column _seq")
     batch = spec.options.get("batch")
     stamp = F.lit(int(batch)).cast("long") if batch is not None else F.unix_micros(F.current_timestamp())
-    rows.where("_op <> '-U'").withColumn(_VERSION, stamp).write.mode("append").parquet(spec.options["path"])
+    rows.withColumn(_VERSION, stamp).write.mode("append").parquet(spec.options["path"])
 
 
 def read_upsert(spark, spec) -> DataFrame:

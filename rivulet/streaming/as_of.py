@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Row
@@ -47,16 +48,13 @@ class AsOf(StatefulProcessor):
         waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
         versions = sorted((tuple(r) for r in self.versions.get()) if self.versions.exists() else [], key=lambda v: (v[0], v[1]))
         names = [*self.left.names, *self.right.names]
-        left = []
+        left, times = [], [v[0] for v in versions]
         for row in sorted(waiting, key=lambda r: r[1]):
             if row[0] > now:
                 left.append(row)
                 continue
-            best = None
-            for v in versions:
-                if v[0] > row[0]:
-                    break
-                best = v
+            at = bisect_right(times, row[0])
+            best = versions[at - 1] if at else None
             if best is not None and not best[2]:
                 yield Row(*names)(*row[2:], *best[3:])
             elif self.how == "left":

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Callable, Iterator
 
@@ -28,7 +27,7 @@ class RetryLookup(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", "row string, attempts int, due long")
+        self.pending = handle.getListState("pending", T.StructType([T.StructField("__attempts", T.IntegerType()), T.StructField("__due", T.LongType()), *self.rows.fields]))
 
     def _emit(self, row: dict, found: list[dict]) -> Iterator[Row]:
         names = [*self.rows.names, *self.found.names]
@@ -50,30 +49,30 @@ class RetryLookup(StatefulProcessor):
             elif self.policy.count < 1:
                 yield from self._null(row)
             else:
-                self.pending.appendValue((json.dumps(row, default=str), 0, due))
+                self.pending.appendValue((0, due, *[row[c] for c in self.rows.names]))
                 waits = True
         if waits:
             self.handle.registerTimer(due)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        held = [(r[0], r[1], r[2]) for r in self.pending.get()] if self.pending.exists() else []
-        found = self.lookup(tuple(key)) if any(due <= now for *_, due in held) else []
+        held = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
+        found = self.lookup(tuple(key)) if any(r[1] <= now for r in held) else []
         left, due_next = [], now + int(self.policy.delay_seconds * 1000)
-        for text, attempts, due in held:
-            row = json.loads(text)
+        for attempts, due, *values in held:
+            row = dict(zip(self.rows.names, values))
             if due > now:
-                left.append((text, attempts, due))
+                left.append((attempts, due, *values))
             elif found:
                 yield from self._emit(row, found)
             elif attempts + 1 >= self.policy.count:
                 yield from self._null(row)
             else:
-                left.append((text, attempts + 1, due_next))
+                left.append((attempts + 1, due_next, *values))
         self.pending.clear()
         if left:
             self.pending.put(left)
-            if any(due == due_next for *_, due in left):
+            if any(r[1] == due_next for r in left):
                 self.handle.registerTimer(due_next)
 
     def close(self) -> None:
@@ -84,8 +83,8 @@ def retry_lookup_join(stream: DataFrame, lookup: Lookup, keys: list[str], found:
     """stream joined with what `lookup` gives for its keys at the time, with retries.
 
     lookup: from the key's values to rows (dicts of `found`'s columns); called in the tasks, so it must read the
-    dimension anew each time. Values of stream must be of types that JSON holds, or text. Input is partitioned by key:
-    a key's lookups and waiting rows are in one place.
+    dimension anew each time. Waiting rows keep their types. Input is partitioned by key: a key's lookups and waiting rows
+    are in one place.
     """
     schema = T.StructType([*stream.schema.fields, *found.fields])
     processor = RetryLookup(lookup, keys, stream.schema, found, policy, how)

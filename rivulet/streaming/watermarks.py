@@ -15,7 +15,7 @@ LAG_MS = 5000
 
 def bounded(df: DataFrame, time: str, delay_ms: int = BOUNDED_MS) -> DataFrame:
     """A stream whose watermark is its largest event time less the delay."""
-    return df.withWatermark(time, f"{delay_ms} milliseconds")
+    return df.withColumn(time, F.col(f"`{time}`").cast("timestamp")).withWatermark(time, f"{delay_ms} milliseconds")
 
 
 def bounded_value(time_ms: Column, order: list[str], delay_ms: int = BOUNDED_MS) -> Column:
