@@ -22,7 +22,7 @@ BROADCAST_ROWS = 50_000
 SLICE_BYTES = 4 << 20
 
 #: As much for what handles the distinct words of a slice: the larger the slice, the fewer there are.
-BULK_BYTES = 16 << 20
+BULK_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
