@@ -196,3 +196,23 @@ def test_key_by_repartitions_and_top_n_is_limited_early(spark):
     df = spark.createDataFrame([(i % 3, i) for i in range(30)], "k int, v int")
     plan = relational.top_n(df, ["k"], [F.col("v").desc()], 2)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_a_hot_key_is_sliced(spark, monkeypatch):
+    """A key with a third of the rows: no slice of it has more than a twentieth, and the join is the same."""
+    left = spark.range(3000).selectExpr("id", "IF(id % 3 = 0, 0, id) AS k", "id * 10 AS t")
+    right = spark.range(3000).selectExpr("IF(id % 3 = 0, 0, id) AS rk", "id * 10 - 3 AS rt", "id AS v")
+    want = sorted(map(tuple, joins.as_of_join(left, right, {"k": "rk"}, "t", "rt", "left", bucket=None).collect()))
+    monkeypatch.setattr(joins, "HOT_ROWS", 100)
+    found = joins.as_of_join(left, right, {"k": "rk"}, "t", "rt", "left")
+    assert sorted(map(tuple, found.collect())) == want
+    width = joins._bucket(right.selectExpr("rk AS __k0", "rt AS __t"), left.selectExpr("k AS __k0", "t AS __t"), ["__k0"], left.schema["t"].dataType)
+    slices = left.union(right.selectExpr("v", "rk", "rt")).where("k = 0").groupBy(F.floor(F.col("t") / width)).count()
+    assert slices.agg(F.max("count")).first()[0] <= 300
+
+
+def test_broadcasts_are_bounded_by_bytes(spark, monkeypatch):
+    wide = spark.range(10).selectExpr("id", "repeat('x', 1000) AS s")
+    assert joins.small(wide)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 5000)
+    assert not joins.small(wide) and joins.small(wide.limit(0))

@@ -171,3 +171,13 @@ def test_programs_and_excluded_rules(engine, spark):
     assert program.only(rules.broadcast_below(10))(right).join(left, "a").count() == 1
     with rules.excluded(spark, rules.PUSH_PREDICATE_THROUGH_JOIN):
         assert rules.PUSH_PREDICATE_THROUGH_JOIN in spark.conf.get("spark.sql.optimizer.excludedRules")
+
+
+def test_upsert_takes_the_last_row_by_order(engine, spark, tmp_path):
+    engine.execute(f"CREATE TABLE latest (k BIGINT, v STRING, PRIMARY KEY (k) NOT ENFORCED) WITH ('connector'='upsert','path'='{tmp_path}/u')")
+    log = spark.range(50).selectExpr("id AS k", "explode(array(named_struct('_op', '+I', '_seq', 1, 'v', 'old'), named_struct('_op', '+U', '_seq', 2, 'v', 'new'))) AS x").selectExpr("x._op", "x._seq", "k", "x.v")
+    engine.catalog.insert("latest", log.repartition(7))
+    spec = engine.catalog.get("latest")
+    assert {r["v"] for r in sinks.read_upsert(spark, spec).collect()} == {"new"} and sinks.read_upsert(spark, spec).count() == 50
+    with pytest.raises(ValueError, match="order"):
+        engine.catalog.insert("latest", log.drop("_seq"))
