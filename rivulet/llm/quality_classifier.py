@@ -176,4 +176,5 @@ def classify(df: DataFrame, weights, keep: list[str], text_col: str = "text", th
 
 
 def held_out(id_col: str = "doc_id"):
+    """True if crc32 of the id as text is 0 modulo 5; a null id isn't held out."""
     return F.coalesce(_remainder(id_col) == 0, F.lit(False))

@@ -134,4 +134,5 @@ def token_counts(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_co
 
 
 def over_limit(counts: DataFrame, limit: int = 2048) -> DataFrame:
+    """counts with `over_limit`: more than `limit` tokens; exactly so many aren't over. Empty texts have none."""
     return counts.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

@@ -114,7 +114,11 @@ def token_rows(df: DataFrame, vocab_path: str, end_id: int, id_col: str = "doc_i
 
 
 def write_store(df: DataFrame, path: str, vocab_path: str, end_id: int = 0, **columns: str) -> None:
-    """Writes token_rows as Parquet under `path`, with LAYOUT. Shards are files, ascending in doc_id."""
+    """Writes token_rows as Parquet under `path`, with LAYOUT. Shards are files, ascending in doc_id.
+
+    Null and empty texts are the end id alone, rows of equal id are all written, very long texts are one row each; an
+    empty table gives a store without rows.
+    """
     with shared.early_shuffle_cleanup(df.sparkSession):
         token_rows(df, vocab_path, end_id, **columns).write.options(**LAYOUT).parquet(path)
 
