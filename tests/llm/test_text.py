@@ -487,3 +487,63 @@ def test_html_edges_of_tables(spark):
     n = len(html_extract.main_text(ARTICLE))
     assert got == sorted([(1, "u", n), (1, "u", n), (None, None, 0), (2, "v", 0), (3, "w", 599_999)], key=repr)
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def brute_kept(docs):
+    """quality_rules.judge in numpy: docs are (id, text, lang, source); quantiles are exact, as Spark's are on few rows."""
+    q = quality_rules
+    found, rows = {}, {}
+    for i, t, lang, source in docs:
+        n, chars, symbols, dup, again = statistics(t)
+        lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (t or "").split("\n"))
+        if n < 50 or 100 * again > 50 * n:
+            found[i] = False
+            continue
+        mean = chars / n
+        x = [np.log(mean + 1), (symbols / n) ** 0.5, (dup / lines) ** 0.5, (again / n) ** 0.5]
+        rows[i] = (x, [mean / (n * (mean + 1) ** 2), 1 / (4 * n), 1 / (4 * lines), q.REPEAT / (4 * n)], (lang, source))
+    sizes = Counter(g for *_, g in rows.values())
+    pooled = Counter()
+    for (lang, _), n in sizes.items():
+        pooled[lang] += n * (n < q.LEAST_GROUP)
+    place = lambda g: g if sizes[g] >= q.LEAST_GROUP else (g[0], "*") if pooled[g[0]] >= q.LEAST_GROUP else ("*", "*")
+    groups = {}
+    for i, (x, v, g) in rows.items():
+        groups.setdefault(place(g), []).append((i, x, v))
+    low = lambda values, p: np.sort(values)[int(np.ceil(p * len(values))) - 1]
+
+    def estimate(x, share):
+        center = x.mean(axis=0)
+        cov = ((x.T @ x) / len(x) - np.outer(center, center)) * q._consistency(share) + np.eye(4) * q.TINY
+        return center, cov
+
+    def distance(g, center, cov):
+        off = data[g][0] - center
+        return np.array([o @ np.linalg.solve(cov + np.diag(v), o) for o, v in zip(off, data[g][1])])
+
+    data = {g: (np.array([x for _, x, _ in r]), np.array([v for *_, v in r])) for g, r in groups.items()}
+    d = {}
+    for g, (x, v) in data.items():
+        center = np.array([low(c, 0.5) for c in x.T])
+        spread = np.array([1.4826 * low(abs(c - m), 0.5) for c, m in zip(x.T, center)])
+        d[g] = ((x - center) ** 2 / (spread**2 + v + q.TINY)).sum(axis=1)
+    before = None
+    for _ in range(q.STEPS):
+        params = {g: estimate(data[g][0][d[g] <= low(d[g], q.SUPPORT)], q.SUPPORT) for g in data}
+        d = {g: distance(g, *params[g]) for g in data}
+        now = {g: np.linalg.slogdet(params[g][1])[1] for g in data}
+        if before is not None and all(before[g] - now[g] <= 0.001 for g in data):
+            break
+        before = now
+    for g, r in groups.items():
+        final = distance(g, *estimate(data[g][0][d[g] <= q._quantile(0.975, 4)], 0.975))
+        found |= {i: bool(z <= q._quantile(q.PASS, 4)) for (i, *_), z in zip(r, final)}
+    return found
+
+
+def test_kept_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute_kept([(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()])
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(docs).collect()}
+    assert got.keys() == want.keys() and sum(got[i] != want[i] for i in got) <= 1
+    assert 0 < sum(want.values()) < len(want)
