@@ -49,27 +49,69 @@ def read_upsert(spark, path: str, keys: list[str]) -> DataFrame:
     return changelog.latest(spark.read.parquet(path).drop("batch"), keys, ["__version"]).drop("__version")
 
 
-def emit_changes(stream: DataFrame, keys: list[str], state_path: str, write: Callable[[DataFrame, int], None]) -> DataStreamWriter:
+def _folders(spark, path: str) -> tuple[list[int], list[int]]:
+    """Numbers of the whole bases and of the batches in the folder of a keyed table."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath() for f in fs.listStatus(root)] if fs.exists(root) else []
+    whole = [n for n in names if fs.exists(n.suffix("/_SUCCESS"))]
+    numbers = lambda kind: sorted(int(n.getName()[len(kind) :]) for n in whole if n.getName().startswith(kind))
+    return numbers("base="), numbers("batch=")
+
+
+def _remove(spark, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _versions(spark, path: str, number: int, schema) -> DataFrame:
+    """The newest base before batch `number` with the batches between: each key's last row is its value."""
+    bases, batches = _folders(spark, path)
+    base = max((b for b in bases if b < number), default=-1)
+    held = [f"{path}/base={base}"] * (base >= 0) + [f"{path}/batch={b}" for b in batches if base < b < number]
+    return spark.read.schema(schema).parquet(*held) if held else spark.createDataFrame([], schema)
+
+
+def _compact(spark, path: str, number: int, keys: list[str], schema) -> None:
+    """Folds the batches before `number` into one base, then removes what it replaces.
+
+    A base counts once its _SUCCESS is there, and only committed batches are folded, so a batch that is run again
+    finds either the former base with its batches or the new one.
+    """
+    bases, batches = _folders(spark, path)
+    if number - 1 not in bases:
+        kept = changelog.latest(_versions(spark, path, number, schema), keys, ["__version"]).withColumn("_op", F.lit("+U"))
+        kept.write.mode("overwrite").parquet(f"{path}/base={number - 1}")
+    for b in bases:
+        if b < number - 1:
+            _remove(spark, f"{path}/base={b}")
+    for b in batches:
+        if b < number:
+            _remove(spark, f"{path}/batch={b}")
+
+
+def emit_changes(stream: DataFrame, keys: list[str], state_path: str, write: Callable[[DataFrame, int], None], compact_every: int = 16) -> DataStreamWriter:
     """The changelog (-U and +U pairs, +I) of an updating aggregate in update mode.
 
     Each batch is compared with what the table at state_path holds for the batch's keys, `write` gets the changes, and
-    the batch's rows become the keys' values. A batch that is run again compares with the same former values.
+    the batch's rows become the keys' values. A batch that is run again compares with the same former values. A null key
+    is a key like others. Every `compact_every` batches the table is folded into a base, so a batch reads one row a key
+    and at most that many batches, however long the stream has run.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state_path)
-        there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
         held = batch.persist()
+        rows = held.withColumn("_op", F.lit("+U")).withColumn("__version", F.lit(number).cast("long"))
         try:
-            if there:
-                versions = spark.read.parquet(state_path).where(F.col("batch") < number).drop("batch")
-                touched = versions.join(held.select(*keys).distinct(), keys, "left_semi")
-                before = changelog.latest(touched, keys, ["__version"]).drop("__version").select(*held.columns)
-            else:
-                before = held.limit(0)
+            if number and number % compact_every == 0:
+                _compact(spark, state_path, number, keys, rows.schema)
+            touched = held.select(F.struct(*keys).alias("__key")).distinct()
+            versions = _versions(spark, state_path, number, rows.schema).withColumn("__of", F.struct(*keys))
+            known = versions.join(touched, F.col("__of").eqNullSafe(F.col("__key")), "left_semi").drop("__of")
+            before = changelog.latest(known, keys, ["__version"]).select(*held.columns)
             write(changelog.diff(before, held, keys), number)
-            held.withColumn("_op", F.lit("+U")).withColumn("__version", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{state_path}/batch={number}")
+            rows.write.mode("overwrite").parquet(f"{state_path}/batch={number}")
         finally:
             held.unpersist()
 

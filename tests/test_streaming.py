@@ -172,6 +172,43 @@ def test_upsert_and_changes(spark, tmp_path):
     assert sorted(tuple(r) for r in sinks.read_upsert(spark, str(tmp_path / "table"), ["user_id"]).collect()) == [("u1", 2), ("u2", 1)]
 
 
+def test_changes_of_a_long_stream_are_compacted(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in", "k string")
+    counts = feed.stream().groupBy("k").agg(F.count("*").alias("c"))
+    state, changes = tmp_path / "state", []
+    writer = sinks.emit_changes(counts, ["k"], str(state), lambda df, n: changes.extend(sorted(map(tuple, df.select("_op", "k", "c").collect()), key=lambda r: (r[0] != "-U", str(r)))), compact_every=2)
+    for rows in ([("a",), (None,)], [("b",)], [(None,)], [("a",)], [("a",), ("b",)]):
+        feed.add(rows)
+        query = writer.option("checkpointLocation", str(tmp_path / "cp")).start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    held = {}
+    for op, k, c in changes:
+        if op == "-U":
+            assert held[k] == c
+        else:
+            assert (op == "+I") == (k not in held)
+            held[k] = c
+    assert held == {"a": 3, "b": 2, None: 2}
+    assert len([p for p in state.iterdir() if p.name.startswith("base=")]) == 1
+    assert len([p for p in state.iterdir() if p.name.startswith("batch=")]) <= 2
+
+
+def test_a_batch_run_again_after_compaction_gives_the_same_changes(spark, tmp_path):
+    state = str(tmp_path / "state")
+    schema = "k string, c long, _op string, __version long"
+    for n, rows in enumerate(([("a", 1)], [("a", 2), (None, 1)], [("a", 3)])):
+        spark.createDataFrame([(*r, "+U", n) for r in rows], schema).write.parquet(f"{state}/batch={n}")
+    typed = spark.createDataFrame([], schema).schema
+    last = lambda: sorted(map(tuple, sinks._versions(spark, state, 2, typed).groupBy("k").agg(F.max("c")).collect()), key=str)
+    before = last()
+    for _ in range(2):
+        sinks._compact(spark, state, 2, ["k"], typed)
+        assert last() == before == [("a", 2), (None, 1)]
+
+
 def test_generated_source(spark, tmp_path):
     source = sources.generated("pairs", T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())]), lambda a, b: [(f"{i}-{i}", str(i)) for i in range(a, b)], 3)
     sources.register(spark, source)
