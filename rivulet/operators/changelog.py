@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import slices
+
 OP = "_op"
 
 
@@ -31,13 +33,22 @@ def latest(changelog: DataFrame, keys: list[str], order: list[str], op: str = OP
 def retract(changelog: DataFrame, keys: list[str], order: list[str], op: str = OP) -> DataFrame:
     """An upsert changelog as one with retractions: before the row that replaces or deletes it, each row once as -U or -D.
 
-    Adds __step, the order of the rows that one change gives.
+    Adds __step, the order of the rows that one change gives. A key of more than slices.HOT_ROWS rows is cut by the first
+    column of `order`, where that is a number or a time; each slice begins with the last row before it.
     """
-    by_key = Window.partitionBy(*keys).orderBy(*order)
     values = [c for c in changelog.columns if c not in (op, *order)]
     change = changelog.where(F.col(op) != "-U")
-    before = F.lag(F.struct(*values, op)).over(by_key)
-    seen = change.withColumn("__before", before)
+    before = F.lag(F.struct(*values, op))
+    length = slices.width(change, keys, order[0])
+    if length is None:
+        seen = change.withColumn("__before", before.over(Window.partitionBy(*keys).orderBy(*order)))
+    else:
+        rows = slices.cut(change, keys, order[0], length)
+        lasts = rows.groupBy("__key", "__slot").agg(F.max_by(F.struct(*change.columns), F.struct(*order)).alias("__last"))
+        line = lasts.withColumn("__carry", F.lag("__last").over(Window.partitionBy("__key").orderBy("__slot"))).where("__carry IS NOT NULL")
+        carried = line.select("__carry.*", F.struct("__key", "__slot").alias("__part"), F.lit(0).alias("__own"))
+        both = rows.select(*change.columns, "__part", F.lit(1).alias("__own")).unionByName(carried)
+        seen = both.withColumn("__before", before.over(Window.partitionBy("__part").orderBy("__own", *order))).where("__own = 1")
     had = F.col("__before").isNotNull() & (F.col(f"__before.{op}") != "-D")
     gone = F.col(op) == "-D"
     taken = seen.where(had).select(*[F.col(f"__before.`{c}`").alias(c) for c in values], *order, F.when(gone, "-D").otherwise("-U").alias(op), F.lit(0).alias("__step"))
@@ -87,15 +98,51 @@ def diff(before: DataFrame, after: DataFrame, keys: list[str], op: str = OP) ->
     return rows.select(op, *[F.when(old, F.col(f"a_{k}")).otherwise(F.col(f"b_{k}")).alias(k) for k in keys], *[F.when(old, F.col(f"a.`{v}`")).otherwise(F.col(f"b.`{v}`")).alias(v) for v in values])
 
 
+def _function(aggregate: Column) -> str | None:
+    """The name of the function that the aggregate is a plain call of; None for others and for DISTINCT."""
+    node = aggregate._jc.node()
+    if node.getClass().getSimpleName() != "UnresolvedFunction" or node.isDistinct():
+        return None
+    return node.functionName().lower()
+
+
+def _added(a: Column, b: Column) -> Column:
+    return F.coalesce(a + b, a, b)
+
+
+#: How results of parts of a key come together: over rows that hold them, and of two.
+_MERGES = {"count": (F.sum, _added), "sum": (F.sum, _added), "min": (F.min, F.least), "max": (F.max, F.greatest)}
+
+
 def updating(rows: DataFrame, keys: list[str], order: list[str], aggregates: dict[str, Column], op: str = OP) -> DataFrame:
     """The changelog of a GROUP BY that is updated row by row: of each row the former result as -D, the new one as +I.
 
-    aggregates: alias to an aggregate, which runs over the rows of the key up to this one. __step orders the two.
+    aggregates: alias to an aggregate, which runs over the rows of the key up to this one. __step orders the two. If all are
+    sums, counts, minima and maxima, a key of more than slices.HOT_ROWS rows is cut by the first column of `order`, where
+    that is a number or a time; each slice adds to what the ones before it amount to.
     """
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    by_key = Window.partitionBy(*keys).orderBy(*order)
-    now = rows.select(*keys, *order, F.struct(*[a.over(upto).alias(n) for n, a in aggregates.items()]).alias("now"))
-    pairs = now.withColumn("was", F.lag("now").over(by_key)).where("was IS NULL OR NOT (was <=> now)")
+    merges = [_MERGES.get(_function(a)) for a in aggregates.values()]
+    length = slices.width(rows, keys, order[0]) if all(merges) else None
+    if length is None:
+        by, carry, cut = Window.partitionBy(*keys).orderBy(*order), F.lit(None), rows
+    else:
+        cut = slices.cut(rows, keys, order[0], length)
+        whole = cut.groupBy("__key", "__slot").agg(*[a.alias(f"__a{i}") for i, a in enumerate(aggregates.values())])
+        past = Window.partitionBy("__key").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+        sums = F.struct(*[m[0](f"__a{i}").over(past).alias(n) for i, (m, n) in enumerate(zip(merges, aggregates))])
+        first = F.row_number().over(Window.partitionBy("__key").orderBy("__slot")) == 1
+        line = whole.select(F.struct("__key", "__slot").alias("__of"), F.when(~first, sums).alias("__carry"))
+        cut = cut.join(line, F.col("__part") == F.col("__of"))
+        by, carry = Window.partitionBy("__part").orderBy(*order), F.col("__carry")
+    running = {n: a.over(by.rowsBetween(Window.unboundedPreceding, 0)) for n, a in aggregates.items()}
+    if length is not None:
+        running = {n: F.when(carry.isNull(), a).otherwise(m[1](carry[n], a)) for (n, a), m in zip(running.items(), merges)}
+    columns = [F.col(c) for c in (*keys, *order)]
+    if length is not None:
+        columns += [F.col("__part"), F.col("__carry")]
+    now = cut.select(*columns, F.struct(*[a.alias(n) for n, a in running.items()]).alias("now"))
+    was = F.lag("now").over(by)
+    pairs = now.withColumn("was", was if length is None else F.coalesce(was, carry)).where("was IS NULL OR NOT (was <=> now)")
     kinds = F.when(F.col("was").isNull(), F.array(F.lit("+I"))).otherwise(F.array(F.lit("-D"), F.lit("+I")))
     steps = pairs.select(*keys, *order, "was", "now", F.posexplode(kinds).alias("__step", op))
     row = lambda n: F.when(F.col(op) == "-D", F.col(f"was.{n}")).otherwise(F.col(f"now.{n}")).alias(n)

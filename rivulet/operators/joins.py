@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import slices
+
 #: A dimension is broadcast on request only if it has at most so many rows and bytes; larger ones shuffle.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
 
 #: Rows of a key, both sides together, from which an as-of join splits it by slices of time.
-HOT_ROWS = 1_000_000
+HOT_ROWS = slices.HOT_ROWS
 
 #: The row kind of a deleted version.
 DELETE = "-D"
@@ -85,8 +87,10 @@ def retried_lookup(left: DataFrame, versions: DataFrame, on: dict[str, str], arr
     met = left.join(first, _on({a: f"__k{i}f" for i, a in enumerate(on)}, left, first), "left")
     attempt = F.greatest(F.lit(0), F.ceil((F.col("__first") - arrived) / step)).cast("int")
     tried = met.withColumn("attempt", F.when(F.col("__first").isNotNull() & (attempt <= policy.count), attempt)).withColumn("__until", arrived + F.col("attempt") * step)
-    there = _on({a: f"__k{i}" for i, a in enumerate(on)}, tried, right) & (right["__available"] <= tried["__until"])
-    out = tried.join(right, there, how)
+    # A row that never finds anything has null keys in the join, so it meets no version.
+    asked = tried.withColumns({f"__a{i}": F.when(F.col("attempt").isNotNull(), F.col(f"`{a}`")) for i, a in enumerate(on)})
+    there = _on({f"__a{i}": f"__k{i}" for i in range(len(on))}, asked, right) & (right["__available"] <= asked["__until"])
+    out = asked.join(right, there, how)
     return out.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col(f"`{n}`") for n in names.values()], "attempt")
 
 
@@ -142,7 +146,7 @@ def as_of_join(
     if bucket == "auto":
         bucket = _bucket(versions, rows, keys, left.schema[left_time].dataType)
     if bucket is not None:
-        slot = _slot(F.col("__t"), left.schema[left_time].dataType, bucket)
+        slot = slices.slot(F.col("__t"), left.schema[left_time].dataType, bucket)
         versions, rows = versions.withColumn("__b", slot), rows.withColumn("__b", slot)
         parts, merged = [*keys, "__b"], versions.unionByName(rows).unionByName(_carried(versions, rows, keys, len(order)))
     # Right before left at equal times, because the match is <=. The version is one struct, so that its nulls stay.
@@ -166,17 +170,7 @@ def as_of_join(
 
 def _bucket(versions: DataFrame, rows: DataFrame, keys: list[str], kind: T.DataType) -> float | None:
     """The length of slices that the largest key needs; None if it needs none."""
-    both = versions.select(*keys, "__t").unionByName(rows.select(*keys, "__t"))
-    t = F.col("__t").cast("double") if isinstance(kind, T.NumericType) else F.unix_micros(F.col("__t").cast("timestamp")) / 1e6
-    by_key = both.groupBy(*keys).agg(F.count("*").alias("n"), (F.max(t) - F.min(t)).alias("span"))
-    n, span = by_key.agg(F.max("n"), F.max_by("span", "n")).first()
-    return span / -(-n // HOT_ROWS) if n and n > HOT_ROWS and span else None
-
-
-def _slot(t: Column, kind: T.DataType, bucket: float) -> Column:
-    if isinstance(kind, T.NumericType):
-        return F.floor(t / F.lit(bucket))
-    return F.floor(F.unix_micros(t.cast("timestamp")) / F.lit(bucket * 1_000_000))
+    return slices.width(versions.select(*keys, "__t").unionByName(rows.select(*keys, "__t")), keys, "__t", kind, HOT_ROWS)
 
 
 def _carried(versions: DataFrame, rows: DataFrame, keys: list[str], orders: int) -> DataFrame:
