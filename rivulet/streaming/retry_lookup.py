@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -13,17 +14,21 @@ from ..operators.joins import RetryPolicy
 
 Lookup = Callable[[tuple], list[dict]]
 
+#: The column with the rows that the first attempt found.
+FOUND = "__found"
+
 
 class RetryLookup(StatefulProcessor):
     """Looks a key up when its row comes; a row that finds nothing waits in list state and is tried again on timers.
 
     State holds rows with the attempts made and the time of the next. Each row is judged by itself: a row is emitted
     with all that the first successful attempt finds, or after the last one with nulls (left) or not at all (inner).
-    An error of the lookup fails the task. Rows and timers are part of the checkpoint.
+    An error of the lookup fails the task. Rows and timers are part of the checkpoint. joined: the rows come with what
+    the first attempt found, in FOUND, so that only what waits is looked up by key.
     """
 
-    def __init__(self, lookup: Lookup, keys: list[str], rows: T.StructType, found: T.StructType, policy: RetryPolicy, how: str):
-        self.lookup, self.keys, self.rows, self.found, self.policy, self.how = lookup, keys, rows, found, policy, how
+    def __init__(self, lookup: Lookup, keys: list[str], rows: T.StructType, found: T.StructType, policy: RetryPolicy, how: str, joined: bool = False):
+        self.lookup, self.keys, self.rows, self.found, self.policy, self.how, self.joined = lookup, keys, rows, found, policy, how, joined
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -39,11 +44,13 @@ class RetryLookup(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         now = timerValues.getCurrentProcessingTimeInMs()
-        found = self.lookup(tuple(key))
+        found = [] if self.joined else self.lookup(tuple(key))
         due = now + int(self.policy.delay_seconds * 1000)
         waits = False
         for r in rows:
             row = r.asDict()
+            if self.joined:
+                found = [{c: f[c] for c in self.found.names} for f in r[FOUND]] if r[FOUND] is not None else []
             if found:
                 yield from self._emit(row, found)
             elif self.policy.count < 1:
@@ -79,15 +86,29 @@ class RetryLookup(StatefulProcessor):
         pass
 
 
-def retry_lookup_join(stream: DataFrame, lookup: Lookup, keys: list[str], found: T.StructType, policy: RetryPolicy = RetryPolicy(), how: str = "left") -> DataFrame:
+def retry_lookup_join(stream: DataFrame, lookup: Lookup, keys: list[str], found: T.StructType, policy: RetryPolicy = RetryPolicy(), how: str = "left", dimension: DataFrame | None = None, on: dict[str, str] | None = None) -> DataFrame:
     """stream joined with what `lookup` gives for its keys at the time, with retries.
 
     lookup: from the key's values to rows (dicts of `found`'s columns); called in the tasks, so it must read the
     dimension anew each time. Waiting rows keep their types. Input is partitioned by key: a key's lookups and waiting rows
     are in one place.
+    dimension: a batch frame with `found`'s columns, of the same rows that `lookup` reads. With it the first attempt of all
+    rows of a micro-batch is one join, which reads the dimension once; only rows that wait are looked up by key. JDBC
+    and table formats are read as they are then; of plain files Spark keeps the list that it had when the frame was made,
+    so rows of later files are found by the retries alone.
+    on: the columns of keys to those of the dimension, if they are called otherwise.
     """
     schema = T.StructType([*stream.schema.fields, *found.fields])
-    processor = RetryLookup(lookup, keys, stream.schema, found, policy, how)
+    processor = RetryLookup(lookup, keys, stream.schema, found, policy, how, dimension is not None)
+    if dimension is not None:
+        sides = {k: f"__k{i}" for i, k in enumerate(keys)}
+        by_key = dimension.select(*[F.col(f"`{(on or {}).get(k, k)}`").alias(s) for k, s in sides.items()], F.struct(*[F.col(f"`{c}`") for c in found.names]).alias("__row"))
+        # A key's rows are all emitted with each row of the stream, so they fit one.
+        grouped = by_key.groupBy(*sides.values()).agg(F.collect_list("__row").alias(FOUND))
+        met = F.lit(True)
+        for k, s in sides.items():
+            met = met & (F.col(f"`{k}`") == F.col(s))
+        stream = stream.join(grouped, met, "left").select(*[F.col(f"`{c}`") for c in stream.columns], FOUND)
     return stream.groupBy(*keys).transformWithState(processor, schema, "Append", "ProcessingTime")
 
 

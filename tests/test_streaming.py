@@ -88,6 +88,30 @@ def test_retry_lookup(spark, tmp_path):
     assert sorted(got, key=repr) == [("a", "1", "a", "A"), ("b", "2", "b", "B"), ("c", "3", None, None)]
 
 
+def test_first_attempts_are_one_join(spark, tmp_path):
+    """What the join finds is never looked up by key, and several matches give several rows; a null key matches nothing."""
+    feed = Feed(spark, tmp_path / "in", "id1 string, id2 string")
+    dimension = spark.createDataFrame([("a", "A"), ("a", "AA"), (None, "N")], "cityId string, cityName string")
+    schema = T.StructType([T.StructField("cityId", T.StringType()), T.StructField("cityName", T.StringType())])
+
+    def look(key):
+        if key[0] == "a":
+            raise ValueError("looked up")
+        return [{"cityId": key[0], "cityName": "B"}] if key[0] == "b" else []
+
+    found = retry_lookup.retry_lookup_join(feed.stream(), look, ["id1"], schema, RetryPolicy(1, 1.0), "left", dimension, {"id1": "cityId"})
+    query = found.writeStream.format("memory").queryName("joined_first").outputMode("append").start()
+    try:
+        feed.add([("a", "1"), ("b", "2"), ("c", "3"), (None, "4"), ("a", "5")])
+        deadline = time.time() + 90
+        while time.time() < deadline and query.isActive and spark.table("joined_first").count() < 7:
+            time.sleep(0.3)
+        got = [tuple(r) for r in spark.table("joined_first").collect()]
+    finally:
+        query.stop()
+    assert sorted(got, key=repr) == sorted([("a", n, "a", v) for n in "15" for v in ("A", "AA")] + [("b", "2", "b", "B"), ("c", "3", None, None), (None, "4", None, None)], key=repr)
+
+
 def test_stream_as_of(spark, tmp_path):
     left, right = Feed(spark, tmp_path / "l", "id string, code string, t timestamp"), Feed(spark, tmp_path / "r", "code string, rt timestamp, rate double, _op string")
     joined = as_of.stream_as_of_join(left.stream(), right.stream(), {"code": "code"}, "t", "rt", "left", op="_op", delay="2 seconds")
