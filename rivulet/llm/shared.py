@@ -49,15 +49,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def early_shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of an eager step go when the step ends, not when the driver collects garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings while an eager step runs; those before come back when it ends."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+
+
+def early_shuffle_cleanup(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Shuffle files of an eager step go when the step ends, not when the driver collects garbage."""
+    return settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
+
+
+def small_batches(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Batches for Python hold a slice of texts, or one longer text, where Spark's own bound is 64 MB in each process."""
+    return settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": str(BULK_BYTES)})
 
 
 class Scratch:

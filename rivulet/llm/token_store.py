@@ -119,7 +119,7 @@ def write_store(df: DataFrame, path: str, vocab_path: str, end_id: int = 0, **co
     Null and empty texts are the end id alone, rows of equal id are all written, very long texts are one row each; an
     empty table gives a store without rows.
     """
-    with shared.early_shuffle_cleanup(df.sparkSession):
+    with shared.early_shuffle_cleanup(df.sparkSession), shared.small_batches(df.sparkSession):
         token_rows(df, vocab_path, end_id, **columns).write.options(**LAYOUT).parquet(path)
 
 

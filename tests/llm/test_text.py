@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from rivulet.llm import byte_bpe, html_extract, pretokens, quality_classifier, quality_rules, queries, token_count, token_store, url_filter
+from rivulet.llm import byte_bpe, html_extract, pretokens, quality_classifier, quality_rules, queries, shared, token_count, token_store, url_filter
 
 ODD = ["", " ", "\n\n", "a\n\n", "a  b", "a   b ", "x\n \ny", "a\x1c!\x1d?", "ΑΣ ΣΑΣ", "é e\u0301", "<|endoftext|>a<|startoftext|><|endoftext|> b", "I'll it's 'S", "İI ẞ ﬁ", "12 34٣ ½²", "a\u2003b\u3000", "\x85 x\xa0y", "😀👍🏽 z", "tab\tx\r\n y", "a\n\n\nb c  \n", "x***\n!!y's"]
 random.seed(1)
@@ -547,3 +547,18 @@ def test_kept_against_brute_force(spark):
     got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(docs).collect()}
     assert got.keys() == want.keys() and sum(got[i] != want[i] for i in got) <= 1
     assert 0 < sum(want.values()) < len(want)
+
+
+def test_settings_of_an_eager_step_come_back(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    with pytest.raises(ValueError), shared.small_batches(spark):
+        assert spark.conf.get(key) == str(shared.BULK_BYTES)
+        raise ValueError
+    assert spark.conf.get(key, None) is None
+    spark.conf.set(key, "1000000")
+    try:
+        with shared.small_batches(spark):
+            pass
+        assert spark.conf.get(key) == "1000000"
+    finally:
+        spark.conf.unset(key)
