@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import vocabulary
+
 #: The white space that parts words: the class of `[^\x20\x09-\x0D]+`, which is also what bytes.split() parts by.
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -66,9 +69,33 @@ def early_shuffle_cleanup(spark: SparkSession) -> contextlib.AbstractContextMana
     return settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
 
 
-def small_batches(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
-    """Batches for Python hold a slice of texts, or one longer text, where Spark's own bound is 64 MB in each process."""
-    return settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": str(BULK_BYTES)})
+#: The setting of how many bytes a batch for Python holds. Spark's own bound, 64 MB, is taken several times over by each task.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """df.mapInArrow(run, schema), in bounded memory: batches hold BULK_BYTES, or one longer row, and a worker returns at the end
+    of a task what it no longer uses. The bound of batches is set for the session, where it has none: results are lazy."""
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(BULK_BYTES))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            vocabulary.settle()
+            release()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def release() -> None:
+    """Freed memory goes back to the system: workers are reused, and their allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
 
 
 class Scratch:
@@ -124,7 +151,7 @@ def text_map(df: DataFrame, text_col: str, keep: list[str], fields: list[T.Struc
                 columns = [*part.columns[:-1], *made]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, arrow)], schema=arrow)
 
-    return narrow.mapInArrow(run, schema)
+    return map_arrow(narrow, run, schema)
 
 
 def slices(batch: pa.RecordBatch, text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -176,7 +176,7 @@ def paths(df: DataFrame, window: int, inner: int) -> DataFrame:
                     columns = [ids.take(pa.array(which)), pa.array(rows[which]), pa.array((start + offset).astype(np.int32)), pa.array(n.astype(np.int32)), _signed(minimizer), _signed(digest), _signed(check)]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "start", "n", "minimizer", "digest", "check"])
 
-    return df.mapInArrow(run, schema)
+    return shared.map_arrow(df, run, schema)
 
 
 def _edges(df: DataFrame, window: int) -> DataFrame:
@@ -198,7 +198,7 @@ def _edges(df: DataFrame, window: int) -> DataFrame:
                 columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(start.astype(np.int32)), _signed(edge), _signed(check)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "start", "edge", "check"])
 
-    return df.mapInArrow(run, schema)
+    return shared.map_arrow(df, run, schema)
 
 
 def repeated_spans(df: DataFrame, scratch: shared.Scratch, window: int = WINDOW, inner: int = INNER) -> DataFrame:
@@ -271,7 +271,7 @@ def _pieces(spans: DataFrame) -> DataFrame:
             columns = [batch.column(0).take(who), batch.column(1).take(who), *ints, flat.field("source").take(what), pa.array(row[at][span]), pa.array(block.astype(np.int32)), pa.array((left - block * GRID).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return listed.mapInArrow(run, schema)
+    return shared.map_arrow(listed, run, schema)
 
 
 def _source_blocks(beside: DataFrame) -> DataFrame:
@@ -286,7 +286,7 @@ def _source_blocks(beside: DataFrame) -> DataFrame:
                 joined = [b" ".join(words[b * GRID : (b + 1) * GRID]).decode() for b in listed]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(listed, pa.int32()), pa.array(joined, pa.string())], names=schema.names)
 
-    return beside.mapInArrow(run, schema)
+    return shared.map_arrow(beside, run, schema)
 
 
 def with_source_words(df: DataFrame, spans: DataFrame, scratch: shared.Scratch) -> DataFrame:
@@ -385,4 +385,4 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 made = [pa.array([x[i] for x in found], arrow.field(width + i).type) for i in range(4)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], *made], schema=arrow)
 
-    return joined.mapInArrow(run, schema).toDF(*kept, *[f.name for f in added])
+    return shared.map_arrow(joined, run, schema).toDF(*kept, *[f.name for f in added])

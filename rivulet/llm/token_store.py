@@ -110,7 +110,7 @@ def token_rows(df: DataFrame, vocab_path: str, end_id: int, id_col: str = "doc_i
                 first += int(ends[-1])
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return ordered.mapInArrow(run, schema)
+    return shared.map_arrow(ordered, run, schema)
 
 
 def write_store(df: DataFrame, path: str, vocab_path: str, end_id: int = 0, **columns: str) -> None:
@@ -119,7 +119,7 @@ def write_store(df: DataFrame, path: str, vocab_path: str, end_id: int = 0, **co
     Null and empty texts are the end id alone, rows of equal id are all written, very long texts are one row each; an
     empty table gives a store without rows.
     """
-    with shared.early_shuffle_cleanup(df.sparkSession), shared.small_batches(df.sparkSession):
+    with shared.early_shuffle_cleanup(df.sparkSession):
         token_rows(df, vocab_path, end_id, **columns).write.options(**LAYOUT).parquet(path)
 
 
@@ -156,4 +156,4 @@ def checksums(store: DataFrame) -> DataFrame:
             sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sums, pa.int64())], schema=arrow)
 
-    return store.select(*[f.name for f in kept], "tokens").mapInArrow(run, schema)
+    return shared.map_arrow(store.select(*[f.name for f in kept], "tokens"), run, schema)

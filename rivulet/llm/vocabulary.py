@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 VOCABULARY_BYTES = 64 << 20
 
 _BUILT: dict = {}
+_ASKED: set = set()
 
 
 def load(spark: SparkSession, path: str) -> Broadcast:
@@ -28,9 +29,17 @@ def once(key: str, data: Broadcast, build: Callable):
     if at not in _BUILT:
         _BUILT.clear()  # a worker serves one vocabulary at a time; the former one's memos go
         _BUILT[at] = build(data.value)
+    _ASKED.add(at)
     return _BUILT[at]
 
 
+def settle() -> None:
+    """At the end of a task: what it didn't ask for goes, so that a worker holds no vocabulary of an earlier stage."""
+    for at in _BUILT.keys() - _ASKED:
+        del _BUILT[at]
+    _ASKED.clear()
+
+
 def ranks(data: bytes) -> dict[bytes, int]:
     """Byte strings and ranks of a rank file: a line for each, base64 and number."""
     out = {}

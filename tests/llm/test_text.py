@@ -15,9 +15,10 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from rivulet.llm import byte_bpe, html_extract, pretokens, quality_classifier, quality_rules, queries, shared, token_count, token_store, url_filter
+from rivulet.llm import byte_bpe, html_extract, pretokens, quality_classifier, quality_rules, queries, shared, token_count, token_store, url_filter, vocabulary
 
 ODD = ["", " ", "\n\n", "a\n\n", "a  b", "a   b ", "x\n \ny", "a\x1c!\x1d?", "ΑΣ ΣΑΣ", "é e\u0301", "<|endoftext|>a<|startoftext|><|endoftext|> b", "I'll it's 'S", "İI ẞ ﬁ", "12 34٣ ½²", "a\u2003b\u3000", "\x85 x\xa0y", "😀👍🏽 z", "tab\tx\r\n y", "a\n\n\nb c  \n", "x***\n!!y's"]
 random.seed(1)
@@ -549,16 +550,28 @@ def test_kept_against_brute_force(spark):
     assert 0 < sum(want.values()) < len(want)
 
 
-def test_settings_of_an_eager_step_come_back(spark):
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    with pytest.raises(ValueError), shared.small_batches(spark):
-        assert spark.conf.get(key) == str(shared.BULK_BYTES)
-        raise ValueError
-    assert spark.conf.get(key, None) is None
-    spark.conf.set(key, "1000000")
+def test_batches_for_python_are_bounded(spark):
+    """A batch holds a bounded number of bytes, or one longer row; a bound that the session has stays."""
+    long = spark.range(30).selectExpr("repeat('x', 1000000) AS t").coalesce(1)
+    sizes = T.StructType([T.StructField("n", T.LongType())])
+    run = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches)
+    before = spark.conf.get(shared.BATCH_BYTES, None)
     try:
-        with shared.small_batches(spark):
-            pass
-        assert spark.conf.get(key) == "1000000"
+        spark.conf.unset(shared.BATCH_BYTES)
+        got = [r["n"] for r in shared.map_arrow(long, run, sizes).collect()]
+        assert sum(got) == 30 and max(got) <= shared.BULK_BYTES // 1_000_000 + 1
+        spark.conf.set(shared.BATCH_BYTES, "1000")
+        assert [r["n"] for r in shared.map_arrow(long, run, sizes).collect()] == [1] * 30
     finally:
-        spark.conf.unset(key)
+        spark.conf.set(shared.BATCH_BYTES, before) if before else spark.conf.unset(shared.BATCH_BYTES)
+
+
+def test_a_worker_keeps_what_its_last_task_asked_for(spark):
+    data = vocabulary.load(spark, P.path("byte_bpe_50k.json"))
+    first = vocabulary.once("x", data, len)
+    vocabulary.settle()
+    assert vocabulary.once("x", data, lambda raw: None) == first
+    vocabulary.settle()
+    vocabulary.settle()
+    assert vocabulary.once("x", data, lambda raw: None) is None
+    vocabulary._BUILT.clear()
