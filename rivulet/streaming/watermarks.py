@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..session import keyed_state
+
+# Spark also loads a processor in a Python process beside the driver, which has neither its sys.path nor files added to the context.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BOUNDED_MS = 3500
 LAG_MS = 5000
 
@@ -60,6 +67,7 @@ class Punctuated(StatefulProcessor):
 
 def punctuated(df: DataFrame, keys: list[str], time_ms: str, marker: str = "watermarkMarker", mark: str = "watermarkTimestamp") -> DataFrame:
     """Rows with `watermark`, the largest mark that marker events of the key have set so far, and `late`."""
+    keyed_state(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField("watermark", T.LongType()), T.StructField("late", T.BooleanType())])
     return df.groupBy(*keys).transformWithState(Punctuated(df.schema, time_ms, marker, mark), schema, "Append", "None")
 
