@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_right
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..session import keyed_state
+
+# As in watermarks.py: the processor is also loaded beside the driver.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Spark takes what isn't after 1970 for late from the start, so earlier rows have this as their event time.
+EPOCH_MS = 1
+
 
 class AsOf(StatefulProcessor):
     """Left rows wait until the watermark reaches their time; then each meets the key's latest version at or before it.
 
     Versions at or before the watermark but the latest are dropped, so state is bounded by the disorder. Of versions of
-    equal time the last to arrive wins; one of kind -D matches nothing.
+    equal time the last to arrive wins; one of kind -D matches nothing. Null keys and times match nothing and don't wait.
+    Times (__t) are in microseconds, the watermark and timers in milliseconds.
     """
 
     def __init__(self, left: T.StructType, right: T.StructType, how: str):
@@ -27,27 +38,40 @@ class AsOf(StatefulProcessor):
         self.versions = handle.getListState("versions", T.StructType([T.StructField("__t", T.LongType()), T.StructField("__n", T.LongType()), T.StructField("__gone", T.BooleanType()), *self.right.fields]))
         self.count = handle.getValueState("count", "n long")
 
+    def _emit(self, left: tuple, version: tuple | None) -> Iterator[Row]:
+        if version is not None or self.how == "left":
+            yield Row(*self.left.names, *self.right.names)(*left, *(version if version is not None else [None] * len(self.right.names)))
+
+    def _wake(self, rows: list[tuple]) -> None:
+        """A timer for the first of the rows; when it expires, the first of those left gets the next."""
+        if rows:
+            self.handle.registerTimer(max(-(-min(r[0] for r in rows) // 1000), EPOCH_MS))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         n = self.count.get()[0] if self.count.exists() else 0
-        times = set()
+        waiting, versions, no_key = [], [], any(k is None for k in key)
         for r in rows:
             n += 1
             t = r["__t"]
+            if no_key or t is None:
+                if r["__side"] == 1:
+                    yield from self._emit(tuple(r["__left"][c] for c in self.left.names), None)
+                continue
             if r["__side"] == 0:
-                self.versions.appendValue((t, n, r["__gone"], *[r["__right"][c] for c in self.right.names]))
+                versions.append((t, n, r["__gone"], *[r["__right"][c] for c in self.right.names]))
             else:
-                self.waiting.appendValue((t, n, *[r["__left"][c] for c in self.left.names]))
-            times.add(t)
+                waiting.append((t, n, *[r["__left"][c] for c in self.left.names]))
         self.count.update((n,))
-        for t in times:
-            self.handle.registerTimer(t)
-        return iter(())
+        if waiting:
+            self.waiting.appendList(waiting)
+        if versions:
+            self.versions.appendList(versions)
+        self._wake([*waiting, *versions])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs()
+        now = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
         versions = sorted((tuple(r) for r in self.versions.get()) if self.versions.exists() else [], key=lambda v: (v[0], v[1]))
-        names = [*self.left.names, *self.right.names]
         left, times = [], [v[0] for v in versions]
         for row in sorted(waiting, key=lambda r: r[1]):
             if row[0] > now:
@@ -55,18 +79,16 @@ class AsOf(StatefulProcessor):
                 continue
             at = bisect_right(times, row[0])
             best = versions[at - 1] if at else None
-            if best is not None and not best[2]:
-                yield Row(*names)(*row[2:], *best[3:])
-            elif self.how == "left":
-                yield Row(*names)(*row[2:], *[None] * len(self.right.names))
-        past = [v for v in versions if v[0] <= now]
-        kept = past[-1:] + [v for v in versions if v[0] > now]
+            yield from self._emit(row[2:], best[3:] if best is not None and not best[2] else None)
+        past, future = [v for v in versions if v[0] <= now], [v for v in versions if v[0] > now]
+        kept = past[-1:] + future
         self.waiting.clear()
         self.versions.clear()
         if left:
             self.waiting.put(left)
         if kept:
             self.versions.put(kept)
+        self._wake([*left, *future])
 
     def close(self) -> None:
         pass
@@ -78,15 +100,17 @@ def stream_as_of_join(left: DataFrame, right: DataFrame, on: dict[str, str], lef
 
     condition: tested on the chosen pair, by the names of the result; a pair that fails is no match."""
     names = {c: c if c not in left.columns else f"right_{c}" for c in right.columns}
+    keyed_state(left.sparkSession)
     ls, rs = left.schema, T.StructType([T.StructField(names[f.name], f.dataType) for f in right.schema.fields])
-    millis = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    event_time = lambda c: F.when(micros(c) < EPOCH_MS * 1000, F.timestamp_millis(F.lit(EPOCH_MS))).otherwise(F.col(c).cast("timestamp"))
     keys = [f"__k{i}" for i in range(len(on))]
     a = left.select(
-        *[F.col(x).alias(k) for x, k in zip(on, keys)], F.col(left_time).cast("timestamp").alias("__ts"), millis(left_time).alias("__t"), F.lit(1).alias("__side"), F.lit(False).alias("__gone"),
+        *[F.col(x).alias(k) for x, k in zip(on, keys)], event_time(left_time).alias("__ts"), micros(left_time).alias("__t"), F.lit(1).alias("__side"), F.lit(False).alias("__gone"),
         F.struct(*left.columns).alias("__left"), F.lit(None).cast(rs).alias("__right"),
     )
     b = right.select(
-        *[F.col(y).alias(k) for y, k in zip(on.values(), keys)], F.col(right_time).cast("timestamp").alias("__ts"), millis(right_time).alias("__t"), F.lit(0).alias("__side"),
+        *[F.col(y).alias(k) for y, k in zip(on.values(), keys)], event_time(right_time).alias("__ts"), micros(right_time).alias("__t"), F.lit(0).alias("__side"),
         (F.col(op).eqNullSafe(F.lit("-D")) if op else F.lit(False)).alias("__gone"), F.lit(None).cast(ls).alias("__left"), F.struct(*[F.col(c).alias(n) for c, n in names.items()]).alias("__right"),
     )
     both = a.withWatermark("__ts", delay).unionByName(b.withWatermark("__ts", delay))
