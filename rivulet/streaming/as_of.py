@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 from bisect import bisect_right
 from collections.abc import Iterator
+from operator import itemgetter
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row
@@ -21,12 +23,20 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 EPOCH_MS = 1
 
 
+#: So many rows of a key are one value of its state.
+CHUNK = 8192
+
+
 class AsOf(StatefulProcessor):
     """Left rows wait until the watermark reaches their time; then each meets the key's latest version at or before it.
 
     Versions at or before the watermark but the latest are dropped, so state is bounded by the disorder. Of versions of
     equal time the last to arrive wins; one of kind -D matches nothing. Null keys and times match nothing and don't wait.
-    Times (__t) are in microseconds, the watermark and timers in milliseconds.
+    Times (__t) are in microseconds, the watermark and timers in milliseconds. __side is 1 for left rows, 0 for versions and
+    -1 for those of kind -D.
+
+    State is a list of chunks of rows in order of arrival, each pickled as a whole: Spark converts a value, and calls its
+    JVM, for each chunk and not for each row.
     """
 
     def __init__(self, left: T.StructType, right: T.StructType, how: str):
@@ -34,61 +44,72 @@ class AsOf(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", T.StructType([T.StructField("__t", T.LongType()), T.StructField("__n", T.LongType()), *self.left.fields]))
-        self.versions = handle.getListState("versions", T.StructType([T.StructField("__t", T.LongType()), T.StructField("__n", T.LongType()), T.StructField("__gone", T.BooleanType()), *self.right.fields]))
-        self.count = handle.getValueState("count", "n long")
+        self.chunks = handle.getListState("chunks", T.StructType([T.StructField("rows", T.BinaryType())]))
+        self.row = Row(*self.left.names, *self.right.names)
+        self.none = (None,) * len(self.right.names)
 
     def _emit(self, left: tuple, version: tuple | None) -> Iterator[Row]:
         if version is not None or self.how == "left":
-            yield Row(*self.left.names, *self.right.names)(*left, *(version if version is not None else [None] * len(self.right.names)))
+            yield self.row(*left, *(version if version is not None else self.none))
 
-    def _wake(self, rows: list[tuple]) -> None:
-        """A timer for the first of the rows; when it expires, the first of those left gets the next."""
-        if rows:
-            self.handle.registerTimer(max(-(-min(r[0] for r in rows) // 1000), EPOCH_MS))
+    def _packed(self, waiting: list[tuple], versions: list[tuple]) -> tuple[bytes]:
+        return (pickle.dumps((waiting, versions), pickle.HIGHEST_PROTOCOL),)
+
+    def _wake(self, first: int | None) -> None:
+        """A timer for the first time of the key's new rows; when it expires, the first of those left gets the next."""
+        if first is not None:
+            self.handle.registerTimer(max(-(-first // 1000), EPOCH_MS))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        n = self.count.get()[0] if self.count.exists() else 0
-        waiting, versions, no_key = [], [], any(k is None for k in key)
+        waiting, versions, first, no_key = [], [], None, any(k is None for k in key)
+        left, right = self.left.names, self.right.names
         for r in rows:
-            n += 1
             t = r["__t"]
             if no_key or t is None:
                 if r["__side"] == 1:
-                    yield from self._emit(tuple(r["__left"][c] for c in self.left.names), None)
+                    yield from self._emit(tuple(r["__left"][c] for c in left), None)
                 continue
-            if r["__side"] == 0:
-                versions.append((t, n, r["__gone"], *[r["__right"][c] for c in self.right.names]))
+            first = t if first is None or t < first else first
+            side = r["__side"]
+            if side == 1:
+                row = r["__left"]
+                waiting.append((t, tuple([row[c] for c in left])))
             else:
-                waiting.append((t, n, *[r["__left"][c] for c in self.left.names]))
-        self.count.update((n,))
-        if waiting:
-            self.waiting.appendList(waiting)
-        if versions:
-            self.versions.appendList(versions)
-        self._wake([*waiting, *versions])
+                row = r["__right"]
+                versions.append((t, side < 0, tuple([row[c] for c in right])))
+            if len(waiting) + len(versions) == CHUNK:
+                self.chunks.appendValue(self._packed(waiting, versions))
+                waiting, versions = [], []
+        if waiting or versions:
+            self.chunks.appendValue(self._packed(waiting, versions))
+        self._wake(first)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        versions = sorted((tuple(r) for r in self.versions.get()) if self.versions.exists() else [], key=lambda v: (v[0], v[1]))
-        left, times = [], [v[0] for v in versions]
-        for row in sorted(waiting, key=lambda r: r[1]):
+        waiting, versions = [], []
+        for (packed,) in self.chunks.get():
+            some_waiting, some_versions = pickle.loads(packed)
+            waiting += some_waiting
+            versions += some_versions
+        versions.sort(key=itemgetter(0))  # Those of equal time stay in order of arrival.
+        times = [v[0] for v in versions]
+        left = []
+        for row in waiting:
             if row[0] > now:
                 left.append(row)
                 continue
             at = bisect_right(times, row[0])
             best = versions[at - 1] if at else None
-            yield from self._emit(row[2:], best[3:] if best is not None and not best[2] else None)
-        past, future = [v for v in versions if v[0] <= now], [v for v in versions if v[0] > now]
-        kept = past[-1:] + future
-        self.waiting.clear()
-        self.versions.clear()
-        if left:
-            self.waiting.put(left)
-        if kept:
-            self.versions.put(kept)
-        self._wake([*left, *future])
+            yield from self._emit(row[1], best[2] if best is not None and not best[1] else None)
+        past = bisect_right(times, now)
+        kept = versions[max(past - 1, 0) :]
+        if len(left) + len(kept) < len(waiting) + len(versions):
+            parts = [self._packed(left[i : i + CHUNK], kept[i : i + CHUNK]) for i in range(0, max(len(left), len(kept)), CHUNK)]
+            if parts:
+                self.chunks.put(parts)
+            else:
+                self.chunks.clear()
+        self._wake(min([r[0] for r in left] + times[past : past + 1], default=None))
 
     def close(self) -> None:
         pass
@@ -106,12 +127,12 @@ def stream_as_of_join(left: DataFrame, right: DataFrame, on: dict[str, str], lef
     event_time = lambda c: F.when(micros(c) < EPOCH_MS * 1000, F.timestamp_millis(F.lit(EPOCH_MS))).otherwise(F.col(c).cast("timestamp"))
     keys = [f"__k{i}" for i in range(len(on))]
     a = left.select(
-        *[F.col(x).alias(k) for x, k in zip(on, keys)], event_time(left_time).alias("__ts"), micros(left_time).alias("__t"), F.lit(1).alias("__side"), F.lit(False).alias("__gone"),
+        *[F.col(x).alias(k) for x, k in zip(on, keys)], event_time(left_time).alias("__ts"), micros(left_time).alias("__t"), F.lit(1).alias("__side"),
         F.struct(*left.columns).alias("__left"), F.lit(None).cast(rs).alias("__right"),
     )
     b = right.select(
-        *[F.col(y).alias(k) for y, k in zip(on.values(), keys)], event_time(right_time).alias("__ts"), micros(right_time).alias("__t"), F.lit(0).alias("__side"),
-        (F.col(op).eqNullSafe(F.lit("-D")) if op else F.lit(False)).alias("__gone"), F.lit(None).cast(ls).alias("__left"), F.struct(*[F.col(c).alias(n) for c, n in names.items()]).alias("__right"),
+        *[F.col(y).alias(k) for y, k in zip(on.values(), keys)], event_time(right_time).alias("__ts"), micros(right_time).alias("__t"),
+        (F.when(F.col(op) == "-D", -1).otherwise(0) if op else F.lit(0)).alias("__side"), F.lit(None).cast(ls).alias("__left"), F.struct(*[F.col(c).alias(n) for c, n in names.items()]).alias("__right"),
     )
     both = a.withWatermark("__ts", delay).unionByName(b.withWatermark("__ts", delay))
     out = T.StructType([*[T.StructField(f.name, f.dataType) for f in ls.fields], *rs.fields])

@@ -116,3 +116,38 @@ def test_as_of_has_one_timer_a_key():
     assert Handle.timers == [1]
     found = list(processor.handleExpiredTimer((1,), type("Mark", (), {"getCurrentWatermarkInMs": lambda self: 50})(), None))
     assert len(found) == 25 and Handle.timers == [1, 51]
+
+
+def test_as_of_keeps_rows_in_chunks(monkeypatch):
+    """Rows of a key are state values by the thousand, not one by one; chunks keep the order of arrival and what is left of it."""
+
+    class State(list):
+        get, exists = lambda self: iter(list(self)), lambda self: bool(self)
+        appendList = list.extend
+        appendValue = list.append
+
+        def put(self, values):
+            self[:] = values
+
+    class Handle:
+        lists, timers = [], []
+
+        def getListState(self, *a):
+            self.lists.append(State())
+            return self.lists[-1]
+
+        getValueState = lambda self, *a: type("Value", (State,), {"get": lambda self: tuple(self), "update": lambda self, v: self.put(v)})()
+        registerTimer = lambda self, t: self.timers.append(t)
+
+    handle, n = Handle(), 20000
+    processor = as_of.AsOf(MARKED, MARKED, "left")
+    processor.init(handle)
+    row = lambda i, side, v: {"__t": i * 1000, "__side": side, "__gone": False, "__left": {"k": 1, "t": v}, "__right": {"k": 1, "t": v}}
+    feed = [row(i, side, i * 10 + side) for i in range(1, n + 1) for side in (0, 1)] + [row(5, 0, -5)]
+    assert not list(processor.handleInputRows((1,), iter(feed), None))
+    assert sum(map(len, handle.lists)) < len(feed) / 1000
+    mark = lambda ms: type("Mark", (), {"getCurrentWatermarkInMs": lambda self: ms})()
+    found = [r for ms in (n // 2, n) for r in processor.handleExpiredTimer((1,), mark(ms), None)]
+    assert [(r[1], r[3]) for r in found] == [(i * 10 + 1, -5 if i == 5 else i * 10) for i in range(1, n + 1)]
+    assert sum(map(len, handle.lists)) == 1  # the latest version stays
+    assert handle.timers == [1, n // 2 + 1]
