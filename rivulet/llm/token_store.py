@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import shared, vocabulary
-from .pretokens import Encoder, byte_mapped, flat, listed, merged
+from .pretokens import MEMO_BYTES, MEMO_KEY, Encoder, byte_mapped, flat, listed, merged
 
 #: Fixed value: how the byte-level pre-tokenizer of the library cuts texts.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -37,6 +37,46 @@ LAYOUT = {
 }
 
 
+#: Fewer pieces than these are encoded at once: to look them up costs a hash table of all that are known.
+LEAST_LOOKUP = 4096
+
+
+class Known:
+    """make(pieces), the lists of pieces of former calls kept in Arrow, about `bound` bytes. At the bound those go that weren't met again."""
+
+    def __init__(self, make: Callable[[list[str]], pa.ListArray], bound: int = MEMO_BYTES):
+        self.make, self.bound = make, bound
+        self.names, self.lists, self.met = pa.array([], pa.string()), flat([]), np.zeros(0, bool)
+
+    def __call__(self, pieces: list[str]) -> pa.ListArray:
+        if len(pieces) < LEAST_LOOKUP:
+            return self.make(pieces)
+        names = pa.array(pieces, pa.string())
+        found = pc.index_in(names, value_set=self.names)
+        new = found.is_null().to_numpy(zero_copy_only=False)
+        at = found.fill_null(0).to_numpy().astype(np.int64)
+        self.met[at[~new]] = True
+        places = np.flatnonzero(new)
+        at[places] = len(self.names) + np.arange(len(places))
+        made = self.make([pieces[i] for i in places])
+        out = pa.concat_arrays([self.lists, made]).take(pa.array(at))
+        names = names.take(pa.array(places))
+        short = pc.less_equal(pc.binary_length(names), MEMO_KEY)
+        self._keep(names.filter(short), made.filter(short))
+        return out
+
+    def _keep(self, names: pa.Array, lists: pa.ListArray) -> None:
+        more = names.nbytes + lists.nbytes
+        if self.names.nbytes + self.lists.nbytes + more > self.bound:
+            met = pa.array(self.met)
+            self.names, self.lists = self.names.filter(met), self.lists.filter(met)
+            self.met = np.zeros(len(self.names), bool)
+            if self.names.nbytes + self.lists.nbytes + more > self.bound:
+                return
+        self.names, self.lists = pa.concat_arrays([self.names, names]), pa.concat_arrays([self.lists, lists])
+        self.met = np.concatenate([self.met, np.zeros(len(names), bool)])
+
+
 class LibraryEncoder:
     """Ids as the tokenizers library gives them for whole texts."""
 
@@ -50,11 +90,14 @@ class LibraryEncoder:
         pre = spec["pre_tokenizer"] or {}
         # Pre-tokens can be encoded one by one if nothing but the byte-level cut comes before the merges.
         self.by_piece = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and spec["model"]["type"] == "BPE"
-        self.encoder = Encoder(BYTE_LEVEL_PATTERN, self._pieces)
+        self.encoder = Encoder(BYTE_LEVEL_PATTERN, Known(self._pieces))
 
     def _pieces(self, pieces: list[str]) -> pa.ListArray:
-        tokenize = self.model.tokenize
-        return flat([[t.id for t in tokenize(byte_mapped(p))] for p in pieces])
+        tokenize, ids, ends = self.model.tokenize, array("i"), array("i", [0])
+        for p in pieces:
+            ids.extend([t.id for t in tokenize(byte_mapped(p))])
+            ends.append(len(ids))
+        return pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(ids, np.int32)))
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
